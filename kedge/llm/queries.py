@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedge.llm import lookalikes, term_frequency
+from kedge.llm import leakage, lookalikes, packing, term_frequency
 from kedge.session import table
 
 
@@ -29,6 +29,25 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.repair_forms(forms, "surface_form", names).select("surface_form", "repaired", "n")
 
 
+def p7_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Per container: pieces and tokens."""
+    return packing.pack_documents(table(spark, d, "documents")).groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Per document and item: tiles, longest tile, covered words, and whether the item leaked for the most part."""
+    got = leakage.leaks(table(spark, d, "documents"), table(spark, d, "gold_items"))
+    return got.withColumn("mostly", F.col("coverage") >= leakage.COVERAGE)
+
+
 _TERMS = """
 WITH t AS (
   SELECT id, 'uri' AS field, uri AS term FROM occs UNION ALL
@@ -37,8 +56,15 @@ WITH t AS (
 c AS (SELECT field, term, count(*) AS n, count(DISTINCT id) AS records FROM t WHERE term IS NOT NULL GROUP BY field, term)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_repaired)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_repaired, p7_packing, p7_containers, p8_found, p8_leaks)}
+_WORDS = """
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM gold_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM doc)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM item))
+"""
 SQL = {
+    "p8_found": _WORDS + "SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     "p3_found": _TERMS + """SELECT field, term, 'rare' AS mark FROM c WHERE records = 1
       UNION ALL SELECT field, term, 'common' FROM c WHERE records >= 1 AND records >= 0.01 * (SELECT count(DISTINCT id) FROM occs)""",
     "p3_terms": _TERMS + "SELECT field, term, n, records FROM c",
