@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedge.llm import leakage, lookalikes, packing, term_frequency
+from kedge.llm import leakage, lookalikes, packing, quality, term_frequency
 from kedge.session import table
 
 
@@ -48,6 +48,15 @@ def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("mostly", F.col("coverage") >= leakage.COVERAGE)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_quality(spark, d).filter(F.col("kind") != "prose").select("doc_id", "kind")
+
+
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics, the calibrated probability of prose and the kind of every document."""
+    return quality.classify(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 _TERMS = """
 WITH t AS (
   SELECT id, 'uri' AS field, uri AS term FROM occs UNION ALL
@@ -56,7 +65,7 @@ WITH t AS (
 c AS (SELECT field, term, count(*) AS n, count(DISTINCT id) AS records FROM t WHERE term IS NOT NULL GROUP BY field, term)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_repaired, p7_packing, p7_containers, p8_found, p8_leaks)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_repaired, p7_packing, p7_containers, p8_found, p8_leaks, p9_found, p9_quality)}
 _WORDS = """
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM gold_items),
