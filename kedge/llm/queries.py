@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kedge.llm import leakage, lookalikes, packing, quality, term_frequency
+from kedge.llm import leakage, lookalikes, markup, packing, quality, term_frequency
 from kedge.session import table
 
 
@@ -29,6 +29,16 @@ def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.repair_forms(forms, "surface_form", names).select("surface_form", "repaired", "n")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_kinds(table(spark, d, "occs"), "occ_id", "context")
+
+
+def p6_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every context as clean text with its structure."""
+    got = markup.clean_texts(table(spark, d, "occs"), "occ_id", "context")
+    return got.select("occ_id", "clean", F.array_join("kinds", ",").alias("kinds"))
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
@@ -65,7 +75,7 @@ WITH t AS (
 c AS (SELECT field, term, count(*) AS n, count(DISTINCT id) AS records FROM t WHERE term IS NOT NULL GROUP BY field, term)
 """
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_repaired, p7_packing, p7_containers, p8_found, p8_leaks, p9_found, p9_quality)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_repaired, p6_found, p6_clean, p7_packing, p7_containers, p8_found, p8_leaks, p9_found, p9_quality)}
 _WORDS = """
 WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
 item AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM gold_items),
