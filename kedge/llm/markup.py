@@ -54,7 +54,7 @@ REDIRECT = re.compile(r"(?im)^#(?:REDIRECT|WEITERLEITUNG|REDIRECTION|REDIRECCIÓ
 MAGIC = re.compile(r"__[A-Z]{3,}__")
 
 MD_HEAD = re.compile(r"(?m)^(#{1,6})[ ]+(\S[^\n]*?)[ #]*$")
-SETEXT = re.compile(r"(?m)^([^\n|]*\w[^\n|]*)\n(={3,}|-{3,})[ ]*$|^([^\n|.]{1,60}[^\n|.:!?])\n(={1,2})\Z")
+SETEXT = re.compile(r"(?m)^(?!\W*$)([^\n|]+)\n(={3,}|-{3,})[ ]*$|^([^\n|.]{1,60}[^\n|.:!?])\n(={1,2})\Z")
 MD_LINK = re.compile(r"(!?)(?<!\[)\[([^\[\]\n]*)\]\(([^()\s]*(?:[ ]\"[^\"\n]*\")?)(?:\)|\Z)")
 REF_LINK = re.compile(r"(?<![\w\]\[])(!?)\[([^\[\]\n]*[^\W\d][^\[\]\n]*)\]\[([^\[\]\n]*)(?:\]|\Z)")
 CUT_LINK = re.compile(r"!\[[^\[\]\n]*\]?\Z|(?<![\w\[!])\[(?!sic\b)(?=[^\W\d_][^\[\]\n]{2})[^\[\]\n]*\]?\Z")
@@ -192,7 +192,7 @@ class Reader:
             t = MAGIC.sub(lambda m: found("wiki", ""), t)
             if re.search(r"\n==?\Z", t):
                 t = found("wiki", re.sub(r"\n==?\Z", "", t))
-        else:
+        elif "\n--" in t:
             t = SETEXT.sub(lambda m: found("markdown", KEEP + "h" + ("# " if (m[2] or m[4])[0] == "=" else "## ") + (m[1] or m[3])), t)
         if "#" in t and MD_HEAD.search(t):
             self.kinds.add("markdown")
