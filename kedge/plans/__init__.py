@@ -1,5 +1,5 @@
 """Queries over the test tables, each with the SQL that gives the same rows."""
 
-from kedge.plans import general
+from kedge.plans import general, kb
 
-CORE = [general]
+CORE = [general, kb]
