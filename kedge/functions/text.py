@@ -67,7 +67,7 @@ def token_spans(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens joined by blanks; none for shorter arrays."""
+    """All runs of n tokens joined by blanks; none for shorter arrays. Give a column that holds the array: an expression would be evaluated once per run."""
     at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
     return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
