@@ -1,5 +1,5 @@
 """Queries over the test tables, each with the SQL that gives the same rows."""
 
-from kedge.plans import general, kb, scalar
+from kedge.plans import general, kb, linking, scalar
 
-CORE = [general, kb, scalar]
+CORE = [general, kb, scalar, linking]
