@@ -37,22 +37,41 @@ def language_normalised(text: Column, lang: Column) -> Column:
     return F.coalesce(out, text)
 
 
-def spans(text: Column, pattern: str = WORD) -> Column:
-    """Array of (token, start): where each match of the pattern begins, 0-based, without leaving the JVM.
+#: Items that a running sum adds one by one before it goes on from their total.
+CHUNK = 64
 
-    What lies between two matches is what a split by the pattern leaves, so the starts are running sums
-    of lengths.
+
+def _placed(pairs: Column, token: str, start: str) -> Column:
+    """Array of (token, start) of tokens t and the gaps g before them: a running sum of lengths.
+
+    The sum goes over chunks of items: an array that grows by one item a step is copied each time,
+    so growing it over a whole text would cost the square of its length.
     """
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern)
-    pairs = F.arrays_zip(tokens.alias("t"), F.slice(gaps, 1, F.size(tokens)).alias("g"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int>>").alias("out"))
+    n = F.size(pairs)
+    shape = f"array<struct<{token}:string,{start}:int>>"
+    chunks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))).otherwise(F.array().cast("array<array<struct<t:string,g:string>>>"))
+
+    def one(acc: Column, p: Column) -> Column:
+        at = acc["at"] + F.char_length(p["g"])
+        return F.struct((at + F.char_length(p["t"])).alias("at"), F.concat(acc["out"], F.array(F.struct(p["t"].alias(token), at.alias(start)))).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["g"])
-        return F.struct((start + F.char_length(p["t"])).alias("at"), F.concat(acc["out"], F.array(F.struct(p["t"].alias("token"), start.alias("start")))).alias("out"))
+    def chunk(acc: Column, items: Column) -> Column:
+        done = F.aggregate(items, F.struct(acc["at"].alias("at"), F.array().cast(shape).alias("out")), one)
+        return F.transform(F.array(done), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
 
-    return F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("out"))
+    return F.flatten(F.aggregate(chunks, zero, chunk, lambda acc: acc["out"]))
+
+
+def with_spans(df: DataFrame, text: str, name: str = "s", pattern: str = WORD) -> DataFrame:
+    """Add ``name``: array of (token, start), where each match of the pattern begins, 0-based, without leaving the JVM.
+
+    What lies between two matches is what a split by the pattern leaves. Tokens and gaps are columns
+    of their own, so that each is computed once.
+    """
+    cut = df.withColumns({"__t": F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), "__g": F.split(text, pattern)})
+    pairs = cut.withColumn("__p", F.arrays_zip(F.col("__t").alias("t"), F.slice("__g", F.lit(1), F.size("__t")).alias("g"))).drop("__t", "__g")
+    return pairs.withColumn(name, _placed(F.col("__p"), "token", "start")).drop("__p")
 
 
 def token_rows(df: DataFrame, key: str, text: str, pattern: str = WORD) -> DataFrame:
@@ -62,7 +81,7 @@ def token_rows(df: DataFrame, key: str, text: str, pattern: str = WORD) -> DataF
 
 def token_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token, start) with character offsets."""
-    rows = df.select(key, F.posexplode(spans(F.col(text))).alias("pos", "s"))
+    rows = with_spans(df.select(key, text), text).select(key, F.posexplode("s").alias("pos", "s"))
     return rows.select(key, "pos", "s.token", "s.start")
 
 
@@ -100,14 +119,7 @@ def mentions_in_brackets(text: Column) -> tuple[Column, Column]:
     names = F.regexp_extract_all(text, F.lit("\\[\\[([^\\[\\]]*)\\]\\]"), F.lit(1))
     plain = F.regexp_replace(text, "\\[\\[([^\\[\\]]*)\\]\\]", "$1")
     gaps = F.split(text, "\\[\\[[^\\[\\]]*\\]\\]")
-    pairs = F.arrays_zip(names.alias("t"), F.slice(gaps, 1, F.size(names)).alias("g"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<name:string,offset:int>>").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["g"])
-        return F.struct((start + F.char_length(p["t"])).alias("at"), F.concat(acc["out"], F.array(F.struct(p["t"].alias("name"), start.alias("offset")))).alias("out"))
-
-    return plain, F.aggregate(pairs, state, step, lambda acc: acc["out"])
+    return plain, _placed(F.arrays_zip(names.alias("t"), F.slice(gaps, 1, F.size(names)).alias("g")), "name", "offset")
 
 
 def wiki_links(text: Column) -> Column:

@@ -85,6 +85,14 @@ def pair_counts(occs: DataFrame) -> DataFrame:
     return occs.filter(F.col("surface_form").isNotNull() & F.col("uri").isNotNull()).groupBy(F.col("surface_form").alias("name"), "uri").agg(F.count(F.lit(1)).alias("n"))
 
 
+def forms_of_pairs(pairs: DataFrame) -> DataFrame:
+    """(name, annotated, total) where no counts are given: annotated uses, and with them the uses of the lower-case form."""
+    uses = pairs.groupBy("name").agg(F.sum("n").alias("annotated"))
+    low = uses.select(F.col("name").alias("__l"), F.col("annotated").alias("__a"))
+    met = uses.join(low, (F.lower("name") == F.col("__l")) & (F.col("name") != F.col("__l")), "left")
+    return met.select("name", "annotated", (F.col("annotated") + F.coalesce("__a", F.lit(0))).alias("total"))
+
+
 def candidates(pairs: DataFrame, resources: DataFrame) -> DataFrame:
     """(name, uri, n, annotated, support, prior): pairs whose resource is known, with P(resource | name)."""
     per_name = pairs.groupBy("name").agg(F.sum("n").alias("annotated"))

@@ -38,10 +38,12 @@ def dictionary_matches(docs: DataFrame, names: DataFrame, key: str = "doc_id", t
     small = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
     hint: Callable[[DataFrame], DataFrame] = F.broadcast if small else (lambda x: x)
     longest = names.groupBy(F.split_part("key", F.lit(" "), F.lit(1)).alias("first_token")).agg(F.max("n_tokens").alias("most"))
-    rows = docs.filter(F.col(text).isNotNull()).select(key, T.spans(F.col(text)).alias("s"))
-    starts = rows.select(key, "s", F.posexplode(F.transform("s", lambda x: x["token"])).alias("pos", "first_token")).join(hint(longest), "first_token")
-    sizes = F.sequence(F.lit(1), F.least("most", F.size("s") - F.col("pos")))
-    runs = starts.select(key, "pos", F.explode(F.transform(sizes, lambda n: F.slice("s", F.col("pos") + 1, n))).alias("run"))
+    # each start looks no further than the longest name, so a text's tokens are copied a bounded number of times
+    rows = T.with_spans(docs.filter(F.col(text).isNotNull()).select(key, text), text).select(key, "s").filter(F.size("s") > 0)
+    ahead = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("s", i, MAX_NAME_TOKENS))
+    starts = rows.select(key, F.posexplode(ahead).alias("pos", "s")).withColumn("first_token", F.col("s")[0]["token"]).join(hint(longest), "first_token")
+    sizes = F.sequence(F.lit(1), F.least("most", F.size("s")))
+    runs = starts.select(key, "pos", F.explode(F.transform(sizes, lambda n: F.slice("s", F.lit(1), n))).alias("run"))
     last = F.element_at("run", -1)
     grams = runs.select(
         key, "pos", F.size("run").alias("n_tokens"), F.col("run")[0]["start"].alias("start"), (last["start"] + F.char_length(last["token"]) - F.col("run")[0]["start"]).alias("length"), F.array_join(F.transform("run", lambda x: x["token"]), " ").alias("key")

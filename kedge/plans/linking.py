@@ -28,7 +28,8 @@ def query(sql: str | None = None):
 
 
 # The dictionary: names by their tokens; of names with the same tokens the likeliest.
-DICT = f"""{FORMS}, dict_rows AS (SELECT name, CASE WHEN total = -1 THEN 1.0 WHEN total = 0 THEN 0.0 ELSE annotated / total END AS p, regexp_extract_all(name, '[\\p{{L}}\\p{{N}}]+') AS w FROM forms),
+CORPUS_FORMS = f"{PAIRS}, pf AS (SELECT name, CAST(sum(n) AS BIGINT) AS a FROM pairs GROUP BY name), forms AS (SELECT f.name, f.a AS annotated, f.a + coalesce(l.a, 0) AS total FROM pf f LEFT JOIN pf l ON l.name = lower(f.name) AND l.name <> f.name)"
+DICT = f"""{CORPUS_FORMS}, dict_rows AS (SELECT name, CASE WHEN total = -1 THEN 1.0 WHEN total = 0 THEN 0.0 ELSE annotated / total END AS p, regexp_extract_all(name, '[\\p{{L}}\\p{{N}}]+') AS w FROM forms),
 dict AS (SELECT array_to_string(w, ' ') AS key, len(w) AS n, arg_max(name, (p, name)) AS name, max(p) AS p FROM dict_rows WHERE p >= 0.05 AND len(w) BETWEEN 1 AND 6 GROUP BY 1, 2)"""
 # All matches: spots(doc_id, pos, n, key).
 MATCHES = f"""{DICT}, doc AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
@@ -49,7 +50,7 @@ def names_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dictionary_of(spark: SparkSession, d: str) -> DataFrame:
-    return spotting.dictionary(model.surface_form_counts(table(spark, d, "surface_forms")))
+    return spotting.dictionary(model.forms_of_pairs(model.pair_counts(table(spark, d, "occs"))))
 
 
 def matches_of(spark: SparkSession, d: str) -> DataFrame:
@@ -122,9 +123,9 @@ def d23_chained_selectors(spark: SparkSession, d: str) -> DataFrame:
     return matches_of(spark, d).transform(select).select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
 
 
-@query(f"WITH {MATCHES}, {PAIRS} SELECT doc_id, pos, name FROM spots WHERE name IN (SELECT name FROM pairs)")
+@query(f"WITH {MATCHES} SELECT doc_id, pos, name FROM spots WHERE name IN (SELECT name FROM pairs WHERE n > 20)")
 def d27_whitelisted_spots(spark: SparkSession, d: str) -> DataFrame:
-    allowed = model.pair_counts(table(spark, d, "occs")).select("name")
+    allowed = model.pair_counts(table(spark, d, "occs")).filter(F.col("n") > 20).select("name")
     return matches_of(spark, d).transform(spotting.whitelisted(allowed)).select("doc_id", F.col("pos").cast("long").alias("pos"), "name")
 
 
@@ -184,8 +185,8 @@ _TRI = "SELECT DISTINCT name, substr(lower(name), i, 3) AS g FROM (SELECT name,
 def e10_trigram_names(spark: SparkSession, d: str) -> DataFrame:
     """Names that share at least six letter trigrams."""
     plain = "^[ -~]+$"
-    grams = lambda df, n: df.filter(F.col("name").rlike(plain)).select(F.col("name").alias(n), F.explode(F.array_distinct(T.char_ngrams(F.lower("name"), 3))).alias("g"))
-    met = grams(names_of(spark, d), "name").join(grams(table(spark, d, "surface_forms").select("name"), "form"), "g")
+    grams = lambda df: df.filter(F.col("name").rlike(plain)).withColumn("g", F.explode(F.array_distinct(T.char_ngrams(F.lower("name"), 3))))
+    met = grams(names_of(spark, d)).join(grams(table(spark, d, "surface_forms").select("name")).withColumnRenamed("name", "form"), "g")
     return met.groupBy("name", "form").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= 6)
 
 
@@ -278,7 +279,8 @@ def f19_icf_links(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {CTX}, nd AS (SELECT count(DISTINCT uri) AS nd FROM ctx), df AS (SELECT token, count(*) AS df FROM ctx GROUP BY token), w AS (SELECT c.uri, c.token, sqrt(c.n) * ln(nd / df) AS w FROM ctx c JOIN df ON df.token = c.token, nd), nm AS (SELECT uri, sqrt(sum(w * w)) AS norm FROM w GROUP BY uri),
   q AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS token FROM documents) GROUP BY 1, 2),
-  dots AS (SELECT q.doc_id, w.uri, sum(sqrt(q.tf) * ln(nd / df.df) * w.w) AS dot FROM q JOIN w ON w.token = q.token JOIN df ON df.token = q.token, nd WHERE w.w > 0 GROUP BY 1, 2),
+  qt AS (SELECT * FROM (SELECT doc_id, token, qw, row_number() OVER (PARTITION BY doc_id ORDER BY qw DESC, token) AS k FROM (SELECT q.doc_id, q.token, round(sqrt(q.tf) * ln(nd / df.df), 9) AS qw FROM q JOIN df ON df.token = q.token, nd)) WHERE k <= 25),
+  dots AS (SELECT q.doc_id, w.uri, sum(q.qw * w.w) AS dot FROM qt q JOIN w ON w.token = q.token WHERE w.w > 0 GROUP BY 1, 2),
   r AS (SELECT doc_id, d.uri, dot / norm AS score, row_number() OVER (PARTITION BY doc_id ORDER BY dot / norm DESC, d.uri) AS rank FROM dots d JOIN nm ON nm.uri = d.uri) SELECT doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 3""")
 def f27_text_similarity(spark: SparkSession, d: str) -> DataFrame:
     """The three resources whose contexts are most like each document."""
@@ -335,7 +337,7 @@ def g12_uri_whitelist(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs").select("occ_id", "uri").transform(filters.uris(table(spark, d, "dbpediaresource")))
 
 
-@query("SELECT occ_id, surface_form FROM occs WHERE length(surface_form) <= 50 AND regexp_matches(surface_form, '\\p{L}') AND NOT regexp_matches(surface_form, '%[0-9A-Fa-f]{2}')")
+@query("SELECT occ_id, surface_form FROM occs WHERE length(surface_form) <= 50 AND regexp_matches(surface_form, '\\p{L}') AND NOT regexp_matches(surface_form, '%[0-9A-Fa-f]{2}') AND len(list_filter(regexp_extract_all(lower(surface_form), '[\\p{L}\\p{N}]+'), lambda w: w NOT IN ('the', 'a', 'an', 'and', 'or', 'of', 'in', 'on', 'to', 'is', 'was', 'for', 'by', 'with', 'that', 'it', 'as', 'at'))) > 0")
 def g19_good_forms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs").filter(F.col("surface_form").isNotNull()).transform(filters.good_form()).select("occ_id", "surface_form")
 

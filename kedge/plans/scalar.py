@@ -167,8 +167,7 @@ def c02_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT d.occ_id, CAST(sum(CASE WHEN substr(d.context, s + 1, length(t)) = t THEN 1 ELSE 0 END) AS BIGINT) AS right_spans FROM (SELECT occ_id, context, w[i] AS t, length(array_to_string(g[1:i], '')) + length(array_to_string(w[1:i - 1], '')) AS s FROM (SELECT occ_id, context, w, g, unnest(generate_series(1, len(w))) AS i FROM (SELECT occ_id, context, regexp_extract_all(context, '[\\p{L}\\p{N}]+') AS w, string_split_regex(context, '[\\p{L}\\p{N}]+') AS g FROM occs WHERE context IS NOT NULL))) d GROUP BY d.occ_id")
 def c02_token_spans(spark: SparkSession, d: str) -> DataFrame:
     """Token offsets, checked against the text they point into."""
-    spans = F.explode(T.spans(F.col("context"))).alias("s")
-    rows = table(spark, d, "occs").select("occ_id", "context", spans)
+    rows = T.with_spans(table(spark, d, "occs").select("occ_id", "context"), "context").select("occ_id", "context", F.explode("s").alias("s"))
     right = F.substr(F.col("context"), F.col("s.start") + 1, F.char_length("s.token")) == F.col("s.token")
     return rows.groupBy("occ_id").agg(F.sum(right.cast("long")).alias("right_spans"))
 
