@@ -126,10 +126,10 @@ def coreference(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     words = F.split("name", " ")
     capital = F.forall(words, lambda w: w.rlike("^\\p{Lu}"))
-    whole = df.filter((F.size(words) > 1) & capital).select(key, F.explode(F.array_distinct(words)).alias("__w"), F.col("start").alias("__s"), F.col("uri").alias("__u"))
-    first = whole.groupBy(key, "__w").agg(F.min_by(F.struct("__s", "__u"), F.struct("__s", "__u")).alias("__f"))
-    met = df.join(first, (df[key] == first[key]) & (df["name"] == first["__w"]) & (df["start"] > first["__f"]["__s"]), "left").drop(first[key])
-    return met.withColumn("uri", F.coalesce(F.col("__f.__u"), F.col("uri"))).drop("__w", "__f")
+    whole = df.filter((F.size(words) > 1) & capital).select(F.col(key).alias("__k"), F.explode(F.array_distinct(words)).alias("__w"), F.col("start").alias("__s"), F.col("uri").alias("__u"))
+    first = whole.groupBy("__k", "__w").agg(F.min_by(F.struct("__s", "__u"), F.struct("__s", "__u")).alias("__f"))
+    met = df.join(first, (F.col(key) == F.col("__k")) & (F.col("name") == F.col("__w")) & (F.col("start") > F.col("__f.__s")), "left")
+    return met.withColumn("uri", F.coalesce(F.col("__f.__u"), F.col("uri"))).drop("__k", "__w", "__f")
 
 
 def pipeline(conf: float = 0.5, more_than: int = 0, wanted: Sequence[str] = (), blacklist: bool = False, allowed: DataFrame | None = None, thresholds: Sequence[float] = ()) -> Filter:
