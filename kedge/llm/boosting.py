@@ -44,6 +44,8 @@ class Boosted:
         n, d = x.shape
         onehot = np.eye(self.classes)[y]
         self.prior = np.log((onehot.sum(0) + 1) / (n + self.classes))
+        if n < 2 * self.min_rows:
+            return self  # too few rows for a split: the class shares are all there is
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(d)]
         coded = np.stack([np.searchsorted(edges[j], x[:, j], "left") for j in range(d)], 1)
         score = np.tile(self.prior, (n, 1))
