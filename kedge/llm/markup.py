@@ -48,20 +48,20 @@ WIKI_TABLE = re.compile(r"(?m)^[ :]*\{\|[^\n]*(?:\n|\Z)(.*?)(?:^\|\}|\Z)", re.S)
 WIKI_LINK = re.compile(r"\[\[([^\[\]|\n]*)((?:\|[^\[\]|\n]*)*)(?:\]\]|\]?\Z)")
 TEMPLATE = re.compile(r"(?<![\\\w{])\{\{(?=[^\W\d_#]|#\w|\Z)[^{}]*(?:\}\}|\}?\Z)")
 WIKI_HEAD = re.compile(r"(?m)^(={2,6})(?!=)[ ]*([^=\n][^\n]*?)[ ]*(?:\1[ ]*$|={0,5}\Z)")
-QUOTES = re.compile(r"(?<![\w'])('{2,5})(?=[^\s'])([^\n]*?[^\s'])(?:'{2,5}(?!')|\Z)")
+QUOTES = re.compile(r"(?<![\w'])('{2,5})(?=[^\s'])([^\n]{0,1000}?[^\s'])(?:'{2,5}(?!')|\Z)")
 EXTERNAL = re.compile(r"(?<![\]\w!])\[((?:https?|ftp)://[^\s\]]*)(?:[ ]([^\]\n]*))?(?:\]|\Z)(?!\()")
 REDIRECT = re.compile(r"(?im)^#(?:REDIRECT|WEITERLEITUNG|REDIRECTION|REDIRECCIÓN)\b")
 MAGIC = re.compile(r"__[A-Z]{3,}__")
 
-MD_HEAD = re.compile(r"(?m)^(#{1,6})[ ]+(\S[^\n]*?)[ #]*$")
+MD_HEAD = re.compile(r"(?m)^(#{1,6})[ ]++(\S[^\n]*)$")
 SETEXT = re.compile(r"(?m)^(?!\W*$)([^\n|]+)\n(={3,}|-{3,})[ ]*$|^([^\n|.]{1,60}[^\n|.:!?])\n(={1,2})\Z")
 MD_LINK = re.compile(r"(!?)(?<!\[)\[([^\[\]\n]*)\]\(([^()\s]*(?:[ ]\"[^\"\n]*\")?)(?:\)|\Z)")
-REF_LINK = re.compile(r"(?<![\w\]\[])(!?)\[([^\[\]\n]*[^\W\d][^\[\]\n]*)\]\[([^\[\]\n]*)(?:\]|\Z)")
+REF_LINK = re.compile(r"(?<![\w\]\[])(!?)\[(?=[^\[\]\n]*[^\W\d])([^\[\]\n]*+)\]\[([^\[\]\n]*+)(?:\]|\Z)")
 CUT_LINK = re.compile(r"!\[[^\[\]\n]*\]?\Z|(?<![\w\[!])\[(?!sic\b)(?=[^\W\d_][^\[\]\n]{2})[^\[\]\n]*\]?\Z")
-STRONG = re.compile(r"(?<![\w*])(\*{2,3})(?=[^\s*])([^\n]*?[^\s*])(?:\1(?!\*)|\*{0,2}\Z)|(?<![\w_])(__)(?=[^\s_])([^\n]*?[^\s_])(?:__(?![\w_])|_?\Z)")
+STRONG = re.compile(r"(?<![\w*])(\*{2,3})(?=[^\s*])([^\n]{0,1000}?[^\s*])(?:\1(?!\*)|\*{0,2}\Z)|(?<![\w_])(__)(?=[^\s_])([^\n]{0,1000}?[^\s_])(?:__(?![\w_])|_?\Z)")
 EMPHASIS = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])([^_\n]*[^\s_])_(?![\w_])")
-MD_RULE_ROW = re.compile(r"(?m)^[ ]*\|?[ ]*:?-{3,}:?[ ]*(?:\|[ ]*:?-{3,}:?[ ]*)*\|[ -]*")
-MD_ROW = re.compile(r"(?m)^[ ]*\|[ ]+[^|\n]+\|(?!\|)(?:[^|\n]+\|)*(?:[^|\n]*\Z|[ ]*$)")
+MD_RULE_ROW = re.compile(r"(?m)^[ ]*+\|?+[ ]*+:?-{3,}+:?[ ]*+(?:\|[ ]*+:?-{3,}+:?[ ]*+)*+\|")
+MD_ROW = re.compile(r"(?m)^[ ]*+\|[ ][^|\n]++\|(?!\|)(?:[^|\n]++\|)*+(?:[^|\n]*+\Z|[ ]*$)")
 
 LIST_MARK = re.compile(r"[ ]*(?:[-*+•·–]|\d{1,3}[.)]|[*#:;]+)[ ]+(?=\S)")
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li tr td th table thead tbody ul ol dl dt dd blockquote br hr pre caption figure figcaption".split())
@@ -77,23 +77,25 @@ class Node:
     parent: Node | None = None
     children: list[Node] = field(default_factory=list)
     points: float = 0.0
+    size: int = 0
+    linked: int = 0
 
     def add(self, tag: str, text: str = "", links: int = 0) -> Node:
         child = Node(tag, text, links, self)
         self.children.append(child)
         return child
 
-    def sizes(self) -> tuple[int, int]:
-        """Characters of text, and of text in links, in the whole subtree."""
-        n, k = len(self.text), self.links
-        for c in self.children:
-            a, b = c.sizes()
-            n, k = n + a, k + b
-        return n, k
+    def measure(self) -> None:
+        """Characters of text, and of text in links, of every subtree, from the leaves up."""
+        order = [self]
+        for n in order:
+            order.extend(n.children)
+        for n in reversed(order):
+            n.size = len(n.text) + sum(c.size for c in n.children)
+            n.linked = n.links + sum(c.linked for c in n.children)
 
     def score(self) -> float:
-        n, k = self.sizes()
-        return self.points * (1 - k / n) if n else 0.0
+        return self.points * (1 - self.linked / self.size) if self.size else 0.0
 
 
 class Reader:
@@ -301,6 +303,7 @@ class Reader:
 
 def score_tree(root: Node) -> None:
     """Paragraphs pass points for length and commas to the container above, and half to the next."""
+    root.measure()
     todo = [root]
     while todo:
         node = todo.pop()
@@ -324,17 +327,16 @@ def best_blocks(root: Node) -> list[Node]:
     least = 0.2 * top.score()
     kept: list[Node] = []
 
-    def leaves(n: Node) -> None:
-        if n.tag in CONTAINERS or n.tag == "root":
-            for c in n.children:
-                leaves(c)
-        else:
-            kept.append(n)
-
     for n in family:
-        size, linked = n.sizes()
-        if n is top or n.tag in CONTAINERS and n.score() >= least and linked < 0.5 * size or n.tag not in CONTAINERS and linked < 0.8 * max(1, size):
-            leaves(n)
+        mostly_links = n.linked >= (0.5 if n.tag in CONTAINERS else 0.8) * max(1, n.size)
+        if n is top or not mostly_links and (n.tag not in CONTAINERS or n.score() >= least):
+            todo = [n]
+            while todo:
+                m = todo.pop()
+                if m.tag in CONTAINERS or m.tag == "root":
+                    todo.extend(reversed(m.children))
+                else:
+                    kept.append(m)
     return kept
 
 

@@ -44,7 +44,7 @@ FIELD = re.compile(r"[^:|;\t]{1,40}: ?\S.{0,48}$|[^:|;\t]{1,40}:$")
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d(?::\d\d)?\b|(?:info|warn|err|error|debug)\b")
 GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 HEX = re.compile(r"(?:[0-9a-f]{2,8}[ :]+){4,}[0-9a-f]{2,8}\b")
-CODE = re.compile(r"[;{}]\s*$|\w\(.*\)\s*[;{]|\w+\[\d+\]\s*=|</?\w+>|\b(?:var|function|return|def|import|class)\b .*[=({:;]")
+CODE = re.compile(r"[;{}]\s*$|\w\([^()]{0,200}\)\s{0,9}[;{]|\w\[\d{1,9}\]\s{0,9}=|</?\w{1,40}>|\b(?:var|function|return|def|import|class)\b [^=({:;]{0,80}[=({:;]")
 CELL = re.compile(r'";"|","|,(?=[^\s,])')
 ENDS = frozenset(".!?…。")
 CLOSERS = "\"'”’»)]"
@@ -125,7 +125,7 @@ def statistics(text: str | None) -> list[float]:
     alpha = max(1, len(words))
     upper, lower = int(kinds[UPPER]), int(kinds[LOWER])
     return [
-        float(n_tokens), sum(map(len, words)) / alpha, int(kinds[SYMBOL] + kinds[SEPARATOR]) / n, int(kinds[DIGIT]) / n, upper / max(1, upper + lower), ended / n_lines, sum(map(known, words)) / max(n_tokens, alpha), float(n_lines), n_tokens / n_lines,
+        float(n_tokens), sum(map(len, words)) / alpha, int(kinds[SYMBOL]) / n, int(kinds[DIGIT]) / n, upper / max(1, upper + lower), ended / n_lines, sum(map(known, words)) / max(n_tokens, alpha), float(n_lines), n_tokens / n_lines,
         len(seen) / alpha, max(seen.values(), default=0) / alpha, int(kinds[LATE]) / n, float(longest), len(words) / n_tokens, len(VOWELLESS.findall(low)) / alpha, int(kinds[SEPARATOR]) / n_tokens, int(kinds[COMMA]) / n_tokens, int(kinds[STOP]) / n_tokens,
         *[v / total for v in shares.values()], float(upper == 0 or lower == 0),
     ]
