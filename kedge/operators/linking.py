@@ -65,18 +65,19 @@ def ambiguity(names: DataFrame, candidates: DataFrame) -> DataFrame:
 def context_gain(spotted: DataFrame, texts: DataFrame, contexts: DataFrame, tokens: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     """(key, uri, gain): how much better the resource explains the distinct words of the text than no resource does.
 
-    Only words that text and resource share differ from the background, so this is an inner join of
-    the text's words with the contexts of its candidates; no candidate meets words it doesn't hold.
+    Only words that text and resource share differ from the background. What a word gains for a
+    resource doesn't depend on the text, so it is worked out once per row of the context table; the
+    words of a text then meet the gains of its candidates by (resource, word). Joining candidates to
+    whole contexts first would multiply every mention by its resource's vocabulary.
     """
-    query = texts.select(key, F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
-    wanted = spotted.select(key, "uri").distinct()
-    total = contexts.groupBy("uri").agg(F.sum("n").alias("total"))
     prior = token_prior(F.col("tn"), F.col("n_tokens"), F.col("vocabulary"))
     floor = F.log(F.lit(1 - LAMBDA)) + prior
-    ranked = wanted.join(contexts, "uri").join(query, [key, "token"]).join(total, "uri").join(tokens.select("token", F.col("n").alias("tn")), "token")
-    scalars = sizes.select("n_tokens", "vocabulary")
-    got = ranked.join(F.broadcast(scalars))
-    return got.groupBy(key, "uri").agg(F.sum(smoothed(prior, F.col("n"), F.col("total")) - floor).alias("gain"))
+    total = contexts.groupBy("uri").agg(F.sum("n").alias("total"))
+    known = contexts.join(total, "uri").join(tokens.select("token", F.col("n").alias("tn")), "token").join(F.broadcast(sizes.select("n_tokens", "vocabulary")))
+    gains = known.select("uri", "token", (smoothed(prior, F.col("n"), F.col("total")) - floor).alias("g"))
+    query = texts.select(key, F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
+    wanted = spotted.select(key, "uri").distinct()
+    return wanted.join(query, key).join(gains, ["uri", "token"]).groupBy(key, "uri").agg(F.sum("g").alias("gain"))
 
 
 def linked(candidates: DataFrame, gain: DataFrame, sizes: DataFrame, keys: list[str], key: str, true_likelihood: bool = False) -> DataFrame:
