@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kedge.functions import text as T
 from kedge.operators.model import MIN_ANNOTATION_PROBABILITY, annotation_probability
+from kedge.session import spread
 
 # Weights and thresholds of the spotter.
 WEIGHTS = (1.0, 0.2, -0.2, 0.1)
@@ -39,7 +40,7 @@ def dictionary_matches(docs: DataFrame, names: DataFrame, key: str = "doc_id", t
     hint: Callable[[DataFrame], DataFrame] = F.broadcast if small else (lambda x: x)
     longest = names.groupBy(F.split_part("key", F.lit(" "), F.lit(1)).alias("first_token")).agg(F.max("n_tokens").alias("most"))
     # each start looks no further than the longest name, so a text's tokens are copied a bounded number of times
-    rows = T.with_spans(docs.filter(F.col(text).isNotNull()).select(key, text), text).select(key, "s").filter(F.size("s") > 0)
+    rows = T.with_spans(spread(docs.filter(F.col(text).isNotNull()).select(key, text)), text).select(key, "s").filter(F.size("s") > 0)
     ahead = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("s", i, MAX_NAME_TOKENS))
     starts = rows.select(key, F.posexplode(ahead).alias("pos", "s")).withColumn("first_token", F.col("s")[0]["token"]).join(hint(longest), "first_token")
     sizes = F.sequence(F.lit(1), F.least("most", F.size("s")))

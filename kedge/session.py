@@ -74,6 +74,15 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(forget)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that is heavy per row: over all cores, where a small file would keep it in a few tasks.
+
+    Data in many files has more tasks than cores anyhow and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def partitions(df: DataFrame) -> int:
     """The number of shuffle partitions of the session, the unit in which shares are reckoned."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
