@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kedge.session import spread
+
 #: Words in a row that make a case.
 MIN_WORDS = 12
 #: Share of an item's words under tiles from which it counts as leaked as a whole.
@@ -146,5 +148,5 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int
     parts = []
     for b in range(blocks):
         rows = [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()]
-        parts.append(docs.select(key, "text").mapInArrow(_matcher(rows, min_words, key), f"{key} {dict(docs.dtypes)[key]}, {SCHEMA}"))
+        parts.append(spread(docs.select(key, "text")).mapInArrow(_matcher(rows, min_words, key), f"{key} {dict(docs.dtypes)[key]}, {SCHEMA}"))
     return reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("tiled_words") / F.col("item_words"))

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kedge.session import spread
+
 KINDS = ("html", "markdown", "wiki", "latex")
 #: A text without any of these holds no markup of any kind.
 TRIGGER = r"[<>&\[\]{}|\\$`#*_=~]|''"
@@ -384,7 +386,7 @@ def clean_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(key, text)
     marked = F.coalesce(F.col(text).rlike(TRIGGER) | F.col(text).contains("\n") | F.col(text).contains("\r"), F.lit(False))
     plain = rows.filter(~marked).select(key, F.trim(F.regexp_replace(text, "[ \\t\u00a0]+", " ")).alias("clean"), F.array().cast("array<string>").alias("kinds"))
-    return rows.filter(marked).mapInArrow(run, f"{key} {kind}, clean string, kinds array<string>").unionByName(plain)
+    return spread(rows.filter(marked)).mapInArrow(run, f"{key} {kind}, clean string, kinds array<string>").unionByName(plain)
 
 
 def markup_kinds(df: DataFrame, key: str, text: str) -> DataFrame:

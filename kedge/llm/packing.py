@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kedge.session import cut, drop, partitions
+from kedge.session import cut, drop, partitions, spread
 
 #: Vocabulary files of public tokenizers; a parameter of the operator.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -51,7 +51,7 @@ def token_sizes(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER
             n = [0 if t is None else count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "size"])
 
-    return docs.select(key, text).mapInArrow(sizes, f"{key} {dict(docs.dtypes)[key]}, size long")
+    return spread(docs.select(key, text)).mapInArrow(sizes, f"{key} {dict(docs.dtypes)[key]}, size long")
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

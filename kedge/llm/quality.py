@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kedge.llm.boosting import Boosted, platt
-from kedge.session import cut
+from kedge.session import cut, spread
 
 #: Most rows of the training sample and of the holdout.
 TRAIN_ROWS = 6000
@@ -139,7 +139,7 @@ def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text"
             rows = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(rows[:, j]) for j in range(len(NAMES))]], names=[key, *NAMES])
 
-    return docs.select(key, text).mapInArrow(measure, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} double" for n in NAMES))
+    return spread(docs.select(key, text)).mapInArrow(measure, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} double" for n in NAMES))
 
 
 def weak_labels(x: pd.DataFrame) -> np.ndarray:
