@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ WEIGHTS = (1.0, 0.2, -0.2, 0.1)
 LEAST_SCORE, LEAST_WITHOUT_WEIGHTS = 0.1, 0.25
 TYPE_ORDER = ("person", "organisation", "location", "misc", "phrase", "match")
 MAX_NAME_TOKENS = 6
-#: A dictionary of at most this many names is broadcast; a larger one is joined by shuffling its keys.
+PY_WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: A dictionary of at most this many names (of MAX_NAME_TOKENS words) is sent to the tasks; a larger one is joined by shuffling its keys.
 BROADCAST_NAMES = 500_000
 
 
@@ -30,26 +33,46 @@ def dictionary(forms: DataFrame, least: float = MIN_ANNOTATION_PROBABILITY) -> D
     return rows.groupBy("key").agg(best.alias("b")).select("key", "b.n_tokens", "b.name", "b.p")
 
 
+def _grams(first: dict[str, int] | None, known: frozenset[str] | None, key: str):
+    """Token runs of a batch of texts: those that are names if ``known`` is given, else all up to MAX_NAME_TOKENS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                spans = [(m.start(), m.end(), m[0]) for m in PY_WORD.finditer(text)]
+                for i, (start, _, token) in enumerate(spans):
+                    most = MAX_NAME_TOKENS if first is None else first.get(token, 0)
+                    gram = ""
+                    for n, (_, end, t) in enumerate(spans[i : i + most], 1):
+                        gram = f"{gram} {t}" if gram else t
+                        if known is None or gram in known:
+                            for col, v in zip(out, (k, i, n, start, end - start, gram), strict=True):
+                                col.append(v)
+            types = [b.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[key, "pos", "n_tokens", "start", "length", "key"])
+
+    return run
+
+
 def dictionary_matches(docs: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, pos, n_tokens, start, length, name, p): every dictionary match at every start and of every length.
 
-    Only runs that begin with a token which begins a name are made into n-grams. The dictionary is
-    broadcast if its counted size allows, else the n-grams are shuffled to it.
+    One pass over the texts in Arrow batches gives tokens, offsets and runs together. A dictionary of at
+    most BROADCAST_NAMES names travels with the tasks, which then pass on matches only; a larger one is
+    met by shuffling all runs to it. Texts that are null or hold no token match nothing.
     """
-    small = names.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    hint: Callable[[DataFrame], DataFrame] = F.broadcast if small else (lambda x: x)
-    longest = names.groupBy(F.split_part("key", F.lit(" "), F.lit(1)).alias("first_token")).agg(F.max("n_tokens").alias("most"))
-    # each start looks no further than the longest name, so a text's tokens are copied a bounded number of times
-    rows = T.with_spans(spread(docs.filter(F.col(text).isNotNull()).select(key, text)), text).select(key, "s").filter(F.size("s") > 0)
-    ahead = F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.slice("s", i, MAX_NAME_TOKENS))
-    starts = rows.select(key, F.posexplode(ahead).alias("pos", "s")).withColumn("first_token", F.col("s")[0]["token"]).join(hint(longest), "first_token")
-    sizes = F.sequence(F.lit(1), F.least("most", F.size("s")))
-    runs = starts.select(key, "pos", F.explode(F.transform(sizes, lambda n: F.slice("s", F.lit(1), n))).alias("run"))
-    last = F.element_at("run", -1)
-    grams = runs.select(
-        key, "pos", F.size("run").alias("n_tokens"), F.col("run")[0]["start"].alias("start"), (last["start"] + F.char_length(last["token"]) - F.col("run")[0]["start"]).alias("length"), F.array_join(F.transform("run", lambda x: x["token"]), " ").alias("key")
-    )
-    return grams.join(hint(names.select("key", "name", "p")), "key").select(key, "pos", "n_tokens", "start", "length", "name", "p")
+    known = names.select("key", "n_tokens").limit(BROADCAST_NAMES + 1).collect()
+    small = len(known) <= BROADCAST_NAMES
+    first: dict[str, int] = {}
+    for r in known if small else ():
+        token = r["key"].partition(" ")[0]
+        first[token] = max(first.get(token, 0), r["n_tokens"])
+    rows = spread(docs.filter(F.col(text).isNotNull()).select(key, text))
+    shape = f"{key} {dict(docs.dtypes)[key]}, pos int, n_tokens int, start int, length int, key string"
+    grams = rows.mapInArrow(_grams(first if small else None, frozenset(r["key"] for r in known) if small else None, key), shape)
+    right = names.select("key", "name", "p")
+    return grams.join(F.broadcast(right) if small else right, "key").select(key, "pos", "n_tokens", "start", "length", "name", "p")
 
 
 def spot_features(name: Column, p: Column) -> tuple[Column, Column, Column, Column]:
