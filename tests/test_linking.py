@@ -65,6 +65,16 @@ def test_spans_of_spots_are_their_names(spark):
         assert text[r["start"] : r["start"] + r["length"]] == r["name"]
 
 
+def test_a_large_dictionary_is_joined_instead(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Apple Pie, Apple; pie"), (2, None), (3, ""), (4, "Apple " * 4000)], "doc_id long, text string").selectExpr("*", "'x' AS name", "1 AS key")
+    names = spotting.dictionary(tiny(spark).forms)
+    small = sorted(tuple(r) for r in spotting.dictionary_matches(docs, names).collect())
+    monkeypatch.setattr(spotting, "BROADCAST_NAMES", 0)
+    assert small == sorted(tuple(r) for r in spotting.dictionary_matches(docs, names).collect())
+    assert [r[:5] for r in small[:3]] == [(1, 0, 1, 0, 5), (1, 1, 1, 6, 3), (1, 2, 1, 11, 5)] and len(small) == 4003
+    assert spotting.dictionary_matches(docs, names.limit(0)).count() == 0
+
+
 def test_nil_prunes_a_rare_candidate(spark):
     cands = spark.createDataFrame([(1, "N", "rare", 1, 1000, 1, 0.001), (1, "N", "often", 999, 1000, 900, 0.999)], "occ_id long, name string, uri string, n long, annotated long, support long, prior double")
     sizes = spark.createDataFrame([(100, 50, 1000, 1000)], "n_tokens long, vocabulary long, support long, annotated long")
