@@ -73,7 +73,7 @@ def annotate(
 def disambiguate(docs: DataFrame, built: model.Model, key: str = "doc_id", **parameters) -> DataFrame:
     """Links of the names that the client marked as [[name]] or [[target|name]] in the text."""
     shown = F.regexp_replace("text", "\\[\\[[^\\[\\]|]*\\|([^\\[\\]|]*)(?:\\|[^\\[\\]]*)?\\]\\]", "[[$1]]")
-    plain, marks = T.mentions_in_brackets(shown)
-    marked = docs.select(key, plain.alias("text"), marks.alias("m"))
+    plain, marks = T.mentions_in_brackets(F.col("__shown"))
+    marked = docs.select(key, shown.alias("__shown")).select(key, plain.alias("text"), marks.alias("m"))
     spots = marked.select(key, F.explode("m").alias("s")).select(key, F.col("s.offset").alias("start"), F.col("s.name").alias("name"))
     return annotate(marked.select(key, "text"), built, key=key, spotter=lambda _: spots, **parameters)

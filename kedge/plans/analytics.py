@@ -247,6 +247,38 @@ def h27_tags(spark: SparkSession, d: str) -> DataFrame:
     return topics.tags(_pages(spark, d).withColumn("one", F.lit(1)), "page", "one")
 
 
+@query("""WITH t AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) AS n, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), c AS (SELECT doc_id, n, token, count(*) AS tf FROM t GROUP BY 1, 2, 3)
+  SELECT doc_id, token, tf FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, token) AS r FROM c) WHERE r <= floor(0.06 * n + 0.5)""")
+def j08_top_share_of_words(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document its most frequent words, as many as six in a hundred of its length."""
+    from pyspark.sql.window import Window
+
+    from kedge.functions import text as T
+
+    docs = table(spark, d, "documents").withColumn("n", F.size(T.words(F.col("text"))))
+    counted = topics.features(docs, "doc_id", "text", ("n",))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("tf"), "token"))
+    return counted.withColumn("r", rank).filter(F.col("r") <= F.floor(0.06 * F.col("n") + 0.5)).select("doc_id", "token", "tf")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL) WHERE r <= 20")
+def l10_first_per_topic(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty documents of every topic (here: source)."""
+    from pyspark.sql.window import Window
+
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return table(spark, d, "documents").filter(F.col("source").isNotNull()).withColumn("r", rank).filter(F.col("r") <= 20).select("doc_id", "source")
+
+
+@query(f"""WITH {CAND} SELECT name, '[' || string_agg('{{"uri":"' || uri || '","n":' || n || '}}', ',' ORDER BY n DESC, uri) || ']' AS candidates FROM candidates WHERE regexp_full_match(uri, '[a-zA-Z0-9_()-]+') GROUP BY name""")
+def b07_nested_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The candidates of every name as one nested JSON value, the most frequent first."""
+    rows = kb_model(spark, d).candidates.filter(F.col("uri").rlike("^[a-zA-Z0-9_()-]+$"))
+    one = F.struct((-F.col("n")).alias("minus"), "uri", "n")
+    ordered = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["uri"].alias("uri"), x["n"].alias("n")))
+    return rows.groupBy("name").agg(F.to_json(ordered).alias("candidates"))
+
+
 @query(f"WITH p AS (SELECT DISTINCT page, uri FROM ({PAGE})), c AS (SELECT a.uri, b.uri AS other, count(*) AS n FROM p a JOIN p b ON b.page = a.page AND b.uri <> a.uri GROUP BY 1, 2) SELECT uri, other, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY n DESC, other) AS rank FROM c) WHERE rank <= 5")
 def h29_related(spark: SparkSession, d: str) -> DataFrame:
     return topics.related(_pages(spark, d), "page", 5)

@@ -58,6 +58,12 @@ def test_context_decides(spark):
     assert got[1]["start"] == 0
 
 
+def test_marked_names_are_linked(spark):
+    docs = spark.createDataFrame([(1, "an [[x|Apple]] that sells phones, [[Nobody]]"), (2, "Apple"), (3, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["name"], r["uri"]) for r in api.disambiguate(docs, tiny(spark), confidence=0.0).collect()]
+    assert got == [(1, 3, "Apple", "Apple_Inc")]
+
+
 def test_spans_of_spots_are_their_names(spark):
     docs = spark.createDataFrame([(1, "x Apple, Apple.")], "doc_id long, text string")
     text = docs.first()["text"]
