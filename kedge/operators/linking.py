@@ -62,6 +62,22 @@ def ambiguity(names: DataFrame, candidates: DataFrame) -> DataFrame:
     return names.join(counts, "name", "left").select("name", F.coalesce("ambiguity", F.lit(0)).alias("ambiguity"))
 
 
+def fuzzy_names(names: DataFrame, known: DataFrame, least: float = 0.5) -> DataFrame:
+    """(name, form, similarity): names at least half alike among those with the same first three letters and nearly the same length: blocked, no cross join."""
+    block = lambda c: F.substring(F.lower(c), 1, 3).alias("b")
+    forms = known.select(F.col("name").alias("form"), block("name"))
+    near = names.select("name", block("name")).join(forms, "b").filter(F.abs(F.char_length("name") - F.char_length("form")) <= 3)
+    alike = 1 - F.levenshtein(F.lower("name"), F.lower("form")) / F.greatest(F.char_length("name"), F.char_length("form"))
+    return near.select("name", "form", alike.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def trigram_names(names: DataFrame, known: DataFrame, least: int = 6) -> DataFrame:
+    """(name, form, shared): names that share at least so many letter trigrams."""
+    grams = lambda df: df.select("name", F.explode(F.array_distinct(T.char_ngrams(F.lower("name"), 3))).alias("g"))
+    met = grams(names).join(grams(known).withColumnRenamed("name", "form"), "g")
+    return met.groupBy("name", "form").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+
+
 def context_gain(spotted: DataFrame, texts: DataFrame, contexts: DataFrame, tokens: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     """(key, uri, gain): how much better the resource explains the distinct words of the text than no resource does.
 

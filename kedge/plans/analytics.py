@@ -94,7 +94,18 @@ def b09_annotated_html(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT '<http://kb.example/text/' || occ_id || '#char=' || text_offset || ',' || (text_offset + length(surface_form)) || '> nif:beginIndex "' || text_offset || '" ; nif:endIndex "' || (text_offset + length(surface_form)) || '" ; nif:anchorOf "' || surface_form || '" ; itsrdf:taIdentRef <http://kb.example/resource/' || uri || '> .' AS line
   FROM occs WHERE uri IS NOT NULL AND text_offset IS NOT NULL AND regexp_full_match(surface_form, '[a-zA-Z0-9 -]+')""")
 def b10_turtle(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "occs").filter(F.col("uri").isNotNull() & F.col("text_offset").isNotNull() & F.col("surface_form").rlike("^[a-zA-Z0-9 -]+$"))
+    """Links whose names need no escapes, which SQL doesn't write; all: b10_turtle_all."""
+    return _turtle(table(spark, d, "occs").filter(F.col("surface_form").rlike("^[a-zA-Z0-9 -]+$")))
+
+
+@query(None)
+def b10_turtle_all(spark: SparkSession, d: str) -> DataFrame:
+    """Links of all names, escaped where needed."""
+    return _turtle(table(spark, d, "occs").filter(F.col("surface_form").isNotNull()))
+
+
+def _turtle(occs: DataFrame) -> DataFrame:
+    rows = occs.filter(F.col("uri").isNotNull() & F.col("text_offset").isNotNull())
     return sinks.turtle_lines(rows.select("occ_id", F.col("text_offset").alias("start"), F.col("surface_form").alias("name"), "uri"), "occ_id").select("line")
 
 
@@ -105,9 +116,16 @@ def b12_markers_removed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {PAIRS} SELECT '<http://kb.example/resource/' || uri || '> <http://www.w3.org/2000/01/rdf-schema#label> "' || name || '" .' AS line FROM pairs WHERE regexp_full_match(name, '[a-zA-Z0-9 -]+')""")
 def b16_name_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Names that need no escapes, which SQL doesn't write; all: b16_name_triples_all."""
     return sinks.name_triples(model.pair_counts(table(spark, d, "occs")).filter(F.col("name").rlike("^[a-zA-Z0-9 -]+$")))
 
 
+@query(None)
+def b16_name_triples_all(spark: SparkSession, d: str) -> DataFrame:
+    """All names, escaped where needed."""
+    return sinks.name_triples(model.pair_counts(table(spark, d, "occs")))
+
+
 @query(None)
 def b15_score_quads(spark: SparkSession, d: str) -> DataFrame:
     return sinks.score_quads(model.lexicalisations(model.pair_counts(table(spark, d, "occs"))))
@@ -272,11 +290,20 @@ def l10_first_per_topic(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {CAND} SELECT name, '[' || string_agg('{{"uri":"' || uri || '","n":' || n || '}}', ',' ORDER BY n DESC, uri) || ']' AS candidates FROM candidates WHERE regexp_full_match(uri, '[a-zA-Z0-9_()-]+') GROUP BY name""")
 def b07_nested_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The candidates of every name as one nested JSON value, the most frequent first."""
-    rows = kb_model(spark, d).candidates.filter(F.col("uri").rlike("^[a-zA-Z0-9_()-]+$"))
+    """Nested candidates whose uris need no escapes, which SQL doesn't write; all: b07_nested_candidates_all."""
+    return _nested(kb_model(spark, d).candidates.filter(F.col("uri").rlike("^[a-zA-Z0-9_()-]+$")))
+
+
+@query(None)
+def b07_nested_candidates_all(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates of every name as one nested JSON value, the most frequent first."""
+    return _nested(kb_model(spark, d).candidates)
+
+
+def _nested(candidates: DataFrame) -> DataFrame:
     one = F.struct((-F.col("n")).alias("minus"), "uri", "n")
     ordered = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["uri"].alias("uri"), x["n"].alias("n")))
-    return rows.groupBy("name").agg(F.to_json(ordered).alias("candidates"))
+    return candidates.groupBy("name").agg(F.to_json(ordered).alias("candidates"))
 
 
 @query(f"WITH p AS (SELECT DISTINCT page, uri FROM ({PAGE})), c AS (SELECT a.uri, b.uri AS other, count(*) AS n FROM p a JOIN p b ON b.page = a.page AND b.uri <> a.uri GROUP BY 1, 2) SELECT uri, other, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY n DESC, other) AS rank FROM c) WHERE rank <= 5")

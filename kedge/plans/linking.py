@@ -169,13 +169,15 @@ def e03_ambiguity(spark: SparkSession, d: str) -> DataFrame:
   SELECT f.name, k.name AS form, 1 - levenshtein(lower(f.name), lower(k.name)) / greatest(length(f.name), length(k.name)) AS similarity FROM f JOIN k ON k.b = substr(lower(f.name), 1, 3) AND abs(length(f.name) - length(k.name)) <= 3
   WHERE 1 - levenshtein(lower(f.name), lower(k.name)) / greatest(length(f.name), length(k.name)) >= 0.5""")
 def e09_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names at least half alike among those with the same first three letters and nearly the same length: blocked, no cross join."""
-    plain = "^[ -~]+$"
-    names = names_of(spark, d).filter(F.col("name").rlike(plain)).withColumn("b", F.substring(F.lower("name"), 1, 3))
-    known = table(spark, d, "surface_forms").filter(F.col("name").rlike(plain)).select(F.col("name").alias("form"), F.substring(F.lower("name"), 1, 3).alias("b"))
-    alike = 1 - F.levenshtein(F.lower("name"), F.lower("form")) / F.greatest(F.char_length("name"), F.char_length("form"))
-    near = names.join(known, "b").filter(F.abs(F.char_length("name") - F.char_length("form")) <= 3)
-    return near.select("name", "form", alike.alias("similarity")).filter(F.col("similarity") >= 0.5)
+    """Names at least half alike, of those names whose edits SQL counts as well (ASCII); all: e09_fuzzy_names_all."""
+    plain = F.col("name").rlike("^[ -~]+$")
+    return linking.fuzzy_names(names_of(spark, d).filter(plain), table(spark, d, "surface_forms").filter(plain))
+
+
+@query(None)
+def e09_fuzzy_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """Names at least half alike, in any script."""
+    return linking.fuzzy_names(names_of(spark, d), table(spark, d, "surface_forms"))
 
 
 _TRI = "SELECT DISTINCT name, substr(lower(name), i, 3) AS g FROM (SELECT name, unnest(generate_series(1, length(name) - 2)) AS i FROM {0} WHERE regexp_full_match(name, '[ -~]+'))"
@@ -183,11 +185,15 @@ _TRI = "SELECT DISTINCT name, substr(lower(name), i, 3) AS g FROM (SELECT name,
 
 @query(f"WITH {_NAMES}, a AS ({_TRI.format('names')}), b AS ({_TRI.format('surface_forms')}), s AS (SELECT name, count(*) AS n FROM b GROUP BY name) SELECT a.name, b.name AS form, count(*) AS shared FROM a JOIN b ON b.g = a.g GROUP BY a.name, b.name HAVING count(*) >= 6")
 def e10_trigram_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names that share at least six letter trigrams."""
-    plain = "^[ -~]+$"
-    grams = lambda df: df.filter(F.col("name").rlike(plain)).withColumn("g", F.explode(F.array_distinct(T.char_ngrams(F.lower("name"), 3))))
-    met = grams(names_of(spark, d)).join(grams(table(spark, d, "surface_forms").select("name")).withColumnRenamed("name", "form"), "g")
-    return met.groupBy("name", "form").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= 6)
+    """Names that share at least six letter trigrams, of the ASCII names that SQL takes; all: e10_trigram_names_all."""
+    plain = F.col("name").rlike("^[ -~]+$")
+    return linking.trigram_names(names_of(spark, d).filter(plain), table(spark, d, "surface_forms").filter(plain))
+
+
+@query(None)
+def e10_trigram_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """Names that share at least six letter trigrams, in any script."""
+    return linking.trigram_names(names_of(spark, d), table(spark, d, "surface_forms"))
 
 
 @query("""WITH f AS (SELECT DISTINCT surface_form AS name FROM occs WHERE surface_form IS NOT NULL), k AS (SELECT DISTINCT name FROM surface_forms),

@@ -102,8 +102,15 @@ def i13_nt_escapes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {FORMS} SELECT a.name, b.name AS other, CASE WHEN a.name = b.name THEN 1.0 WHEN lower(a.name) = lower(b.name) THEN 0.85 ELSE 0.85 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))) END AS score
   FROM f a JOIN surface_forms b ON lower(b.name) = lower(a.name) WHERE regexp_matches(a.name, '^[ -~]+$')""")
 def i17_edit_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the ASCII names, whose edits SQL counts as well; all: i17_edit_scores_all."""
+    return i17_edit_scores_all(spark, d).filter(F.col("name").rlike("^[ -~]+$"))
+
+
+@query(None)
+def i17_edit_scores_all(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of the names in any script."""
     names = table(spark, d, "surface_forms").select(F.col("name").alias("other"))
-    rows = _forms(spark, d).filter(F.col("name").rlike("^[ -~]+$")).join(names, F.lower("name") == F.lower("other"))
+    rows = _forms(spark, d).join(names, F.lower("name") == F.lower("other"))
     return rows.select("name", "other", S.edit_score(F.col("name"), F.col("other")).alias("score"))
 
 
@@ -185,7 +192,18 @@ def c17_bigrams(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FORMS} SELECT gram, count(*) AS n FROM (SELECT substr(lower(name), i, 3) AS gram FROM (SELECT name, unnest(generate_series(1, length(name) - 2)) AS i FROM f WHERE regexp_matches(name, '^[ -~]+$'))) GROUP BY gram")
 def c17_char_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = _forms(spark, d).filter(F.col("name").rlike("^[ -~]+$")).select(F.explode(T.char_ngrams(F.lower("name"), 3)).alias("gram"))
+    """Trigrams of the ASCII names that SQL takes; all: c17_char_trigrams_all."""
+    return _char_trigrams(_forms(spark, d).filter(F.col("name").rlike("^[ -~]+$")))
+
+
+@query(None)
+def c17_char_trigrams_all(spark: SparkSession, d: str) -> DataFrame:
+    """Trigrams of the names in any script."""
+    return _char_trigrams(_forms(spark, d))
+
+
+def _char_trigrams(names: DataFrame) -> DataFrame:
+    rows = names.select(F.explode(T.char_ngrams(F.lower("name"), 3)).alias("gram"))
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
