@@ -12,11 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kedge.session import partitions
 
 #: Shuffle partitions times this is the number of pieces into which the rows are thought divided.
 PIECES_PER_PARTITION = 2
+#: Parts into which ``numbered`` divides the rows at most; each row is compared with every cut.
+MAX_QUANTILES = 200
 
 
 @dataclass(frozen=True)
@@ -119,6 +122,25 @@ def salted_join(
     return a.join(b, (a[left_key] == b[right_key]) & (a["__salt"] == b["__rsalt"]), how).drop("__salt", "__salts", "__rsalt")
 
 
+def numbered(df: DataFrame, key: str, order: str, pieces: int | None = None) -> DataFrame:
+    """Add ``position``, from 1 in order of a numeric, unique column, among the rows of each key.
+
+    The quantiles of ``order`` divide all rows into parts of about the same size, so no task sorts more
+    than such a part of a hot key; a part's rows come after those of the key's parts before it. The rows
+    move once for both the numbers and the join. Rows whose key is null are left out.
+    """
+    pieces = min(MAX_QUANTILES, pieces or PIECES_PER_PARTITION * partitions(df))
+    cuts = sorted(set(df.approxQuantile(order, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces)))) if pieces > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order).cast("double"))) if cuts else F.lit(0)
+    rows = df.filter(F.col(key).isNotNull()).withColumn("__part", part)
+    sizes = rows.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(F.col(key).alias("__k"), F.col("__part").alias("__q"), F.coalesce(earlier, F.lit(0)).alias("__before"))
+    inside = rows.withColumn("__i", F.row_number().over(Window.partitionBy(key, "__part").orderBy(order)))
+    met = inside.join(before, (inside[key] == before["__k"]) & (inside["__part"] == before["__q"]))
+    return met.withColumn("position", F.col("__before") + F.col("__i")).drop("__part", "__n", "__i", "__k", "__q", "__before")
+
+
 def share_of_total(grouped: DataFrame, value: str, share: float) -> DataFrame:
     """The rows whose ``value`` is at least ``share`` of the column's sum; none if that sum is null or 0."""
     total = grouped.agg(F.sum(value)).scalar()

@@ -9,6 +9,7 @@ from kedge.functions import scalars as S
 from kedge.functions import text as T
 from kedge.operators import filters, hierarchy, model
 from kedge.session import table
+from kedge.sources import sinks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -313,11 +314,17 @@ def h18_lexicalisations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT uri, count(*) AS contexts, CAST(sum(length(context)) AS BIGINT) AS chars FROM occs WHERE uri IS NOT NULL AND context IS NOT NULL GROUP BY uri")
 def h19_merged_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Contexts merged per resource: sizes only, so that no resource's text is gathered in one row."""
+    """Sizes of the contexts merged per resource; the contexts: h19_merged_context_rows."""
     rows = occs_of(spark, d).filter(F.col("uri").isNotNull() & F.col("context").isNotNull())
     return rows.groupBy("uri").agg(F.count(F.lit(1)).alias("contexts"), F.sum(F.char_length("context")).alias("chars"))
 
 
+@query("SELECT uri, row_number() OVER (PARTITION BY uri ORDER BY occ_id) AS position, surface_form, context FROM occs WHERE uri IS NOT NULL AND context IS NOT NULL")
+def h19_merged_context_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The contexts of every resource, sorted by resource; a row each, so that no resource's text is gathered in one."""
+    return sinks.merged_contexts(occs_of(spark, d))
+
+
 @query(f"WITH {PAIRS} SELECT name, uri, n FROM pairs WHERE n > 3")
 def h20_frequent_pairs(spark: SparkSession, d: str) -> DataFrame:
     return model.pair_counts(occs_of(spark, d)).filter(F.col("n") > 3)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kedge.functions.scalars import full_uri, nt_escape
+from kedge.operators.skew import numbered
 
 
 def occurrence_line(types: str | None = None) -> Column:
@@ -93,10 +94,16 @@ def score_quads(lex: DataFrame, least: int = 5) -> DataFrame:
 
 
 def inverted_index(occs: DataFrame) -> DataFrame:
-    """(uri, uri_count, surface_forms, n_contexts): one row per resource; forms are distinct, contexts are counted and
-    stay in the table of occurrences bucketed by uri, so that no resource's contexts are gathered in one row."""
+    """(uri, uri_count, surface_forms, n_contexts): one row per resource; forms are distinct, contexts are counted.
+    The contexts themselves come from ``merged_contexts``, so that no resource's are gathered in one row."""
     return occs.filter(F.col("uri").isNotNull()).groupBy("uri").agg(F.count(F.lit(1)).alias("uri_count"), F.array_sort(F.collect_set("surface_form")).alias("surface_forms"), F.count("context").alias("n_contexts"))
 
 
+def merged_contexts(occs: DataFrame, key: str = "occ_id") -> DataFrame:
+    """(uri, position, surface_form, context), sorted by uri: the contexts of every resource in order of occurrence, one a row."""
+    rows = occs.filter(F.col("uri").isNotNull() & F.col("context").isNotNull()).select(key, "uri", "surface_form", "context")
+    return numbered(rows, "uri", key).select("uri", "position", "surface_form", "context").orderBy("uri", "position")
+
+
 def compressed_index(index: DataFrame, least: int) -> DataFrame:
     return index.filter(F.col("uri_count") >= least).drop("surface_forms")

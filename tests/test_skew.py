@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from kedge.operators import skew
+from kedge.sources import sinks
 
 
 def rows(spark):
@@ -48,3 +49,14 @@ def test_count_distinct_and_share(spark):
     assert got["hot"] == 3
     zeros = spark.createDataFrame([("a", 0), ("b", None)], "k string, n long")
     assert skew.share_of_total(zeros, "n", 0.01).count() == 0
+
+
+def test_contexts_of_a_hot_resource_come_out_in_order(spark):
+    data = [(i * i, "hot" if i % 3 else f"u{i % 7}", f"f{i}", f"context {i}") for i in range(300)] + [(-1, None, "f", "c"), (-2, "hot", None, None), (-3, "hot", None, "")]
+    df = spark.createDataFrame(data, "occ_id long, uri string, surface_form string, context string")
+    got = [tuple(r) for r in sinks.merged_contexts(df).collect()]
+    want = {}
+    for _, u, f, c in sorted((r for r in data if r[1] is not None and r[3] is not None), key=lambda r: r[0]):
+        want.setdefault(u, []).append((f, c))
+    assert got == [(u, i, f, c) for u in sorted(want) for i, (f, c) in enumerate(want[u], 1)]
+    assert skew.numbered(df.limit(0), "uri", "occ_id").count() == 0
