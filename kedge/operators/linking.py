@@ -159,10 +159,11 @@ def icf_scores(mentions: DataFrame, candidates: DataFrame, contexts: DataFrame,
     return cand.join(score, [key, "name", "uri"], "left").select(key, "name", "uri", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, query_terms: int = QUERY_TERMS) -> DataFrame:
+def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, query_terms: int | None = None) -> DataFrame:
     """(key, uri, score, rank): the resources whose contexts are most like the text, by cosine of tf * idf weights.
 
-    As in a more-like-this query, a text is represented by its ``query_terms`` weightiest words.
+    All words of a text count. With ``query_terms`` a text is represented by its so many weightiest words
+    only, as in a more-like-this query.
     """
     n_docs = contexts.agg(F.count_distinct("uri")).scalar()
     df = contexts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -170,8 +171,10 @@ def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, qu
     norm = weighted.groupBy("uri").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     query = texts.select(key, F.explode(T.lower_words(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.round(F.sqrt("tf") * F.log(n_docs / F.col("df")), 9)
-    order = Window.partitionBy(key).orderBy(F.desc("qw"), "token")
-    query = query.join(df, "token").withColumn("qw", weight).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= query_terms)
+    query = query.join(df, "token").withColumn("qw", weight)
+    if query_terms is not None:
+        order = Window.partitionBy(key).orderBy(F.desc("qw"), "token")
+        query = query.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= query_terms)
     dots = query.select(key, "token", "qw").join(weighted.filter(F.col("w") > 0).select("uri", "token", "w"), "token").groupBy(key, "uri").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     got = dots.join(norm, "uri").withColumn("score", F.col("dot") / F.col("norm"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "uri"))

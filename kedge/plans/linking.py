@@ -289,12 +289,20 @@ def f19_icf_links(spark: SparkSession, d: str) -> DataFrame:
   dots AS (SELECT q.doc_id, w.uri, sum(q.qw * w.w) AS dot FROM qt q JOIN w ON w.token = q.token WHERE w.w > 0 GROUP BY 1, 2),
   r AS (SELECT doc_id, d.uri, dot / norm AS score, row_number() OVER (PARTITION BY doc_id ORDER BY dot / norm DESC, d.uri) AS rank FROM dots d JOIN nm ON nm.uri = d.uri) SELECT doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 3""")
 def f27_text_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """The three resources whose contexts are most like each document."""
+    """Scores of the three resources most like each document's 25 weightiest words, as in a more-like-this query; by all words: f27_text_similarity_all."""
     m = kb_model(spark, d)
-    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), m.contexts, "doc_id", 3)
+    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), m.contexts, "doc_id", 3, linking.QUERY_TERMS)
     return got.select("doc_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query(None)
+def f27_text_similarity_all(spark: SparkSession, d: str) -> DataFrame:
+    """The three resources whose contexts are most like each document, by all its words."""
+    m = kb_model(spark, d)
+    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), m.contexts, "doc_id", 3)
+    return got.select("doc_id", "rank", "uri", F.round("score", 4).alias("score"))
+
+
 @query(f"WITH {CAND}, a AS (SELECT uri, count(*) AS names, sum(n) AS total, avg(prior) AS mean FROM candidates GROUP BY uri) SELECT c.name, arg_max(c.uri, (a.total, c.uri)) AS common, arg_max(c.uri, (round(a.mean, 9), c.uri)) AS best FROM candidates c JOIN a ON a.uri = c.uri GROUP BY c.name")
 def f31_ranking_strategies(spark: SparkSession, d: str) -> DataFrame:
     """The candidate that is most common over all names, and the one best on average."""

@@ -124,3 +124,26 @@ def test_scores(spark):
     assert (r["tp"], r["fp"], r["fn"], r["precision"], r["recall"], r["f1"]) == (1, 1, 1, 0.5, 0.5, 0.5)
     none = evaluation.set_scores(g.limit(0), p.limit(0), ["k"]).collect()
     assert len(none) == 1 and none[0]["precision"] == 0.0
+
+
+def test_similarity_takes_all_words_and_names_the_resource(spark):
+    import math
+
+    rare = [f"w{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(30)]
+    held = [("A", w, 1) for w in rare] + [("B", "plain", 4), ("B", "other", 1), ("C", "plain", 1), ("D", "other", 2), ("D", "plain", 1), ("E", "far", 1)]
+    texts = {1: " ".join([*rare, "plain", "plain", "other"]), 2: "other", 3: "", 4: None}
+    ctx = spark.createDataFrame(held, "uri string, token string, n long")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    df = {w: sum(x == w for _, x, _ in held) for _, w, _ in held}
+    weight = {(u, w): math.sqrt(n) * math.log(5 / df[w]) for u, w, n in held}
+    want = []
+    for d, t in texts.items():
+        words = (t or "").split()
+        q = {w: math.sqrt(words.count(w)) * math.log(5 / df[w]) for w in set(words)}
+        dots = {u: sum(q.get(w, 0) * x for (v, w), x in weight.items() if v == u) for u in "ABCDE"}
+        norm = {u: math.sqrt(sum(x * x for (v, _), x in weight.items() if v == u)) for u in "ABCDE"}
+        best = sorted((-dots[u] / norm[u], u) for u in "ABCDE" if dots[u] > 0)[:3]
+        want += [(d, u, round(-s, 6), i) for i, (s, u) in enumerate(best, 1)]
+    got = linking.tfidf_similarity(docs, ctx, "doc_id", 3).collect()
+    assert sorted((r["doc_id"], r["uri"], round(r["score"], 6), r["rank"]) for r in got) == sorted(want) and len(want) == 5
+    assert [r["uri"] for r in linking.tfidf_similarity(docs.limit(1), ctx, "doc_id", 3, 25).collect()] == ["A"]
