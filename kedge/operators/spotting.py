@@ -18,9 +18,8 @@ from kedge.session import spread
 WEIGHTS = (1.0, 0.2, -0.2, 0.1)
 LEAST_SCORE, LEAST_WITHOUT_WEIGHTS = 0.1, 0.25
 TYPE_ORDER = ("person", "organisation", "location", "misc", "phrase", "match")
-MAX_NAME_TOKENS = 6
 PY_WORD = regex.compile(r"[\p{L}\p{N}]+")
-#: A dictionary of at most this many names (of MAX_NAME_TOKENS words) is sent to the tasks; a larger one is joined by shuffling its keys.
+#: A dictionary of at most this many names is sent to the tasks; a larger one is joined by shuffling its keys.
 BROADCAST_NAMES = 500_000
 
 
@@ -28,13 +27,13 @@ def dictionary(forms: DataFrame, least: float = MIN_ANNOTATION_PROBABILITY) -> D
     """(key, n_tokens, name, p): names by their tokens, without those hardly ever annotated. Of names with the same tokens the likeliest stays."""
     p = annotation_probability(F.col("annotated"), F.col("total"))
     tokens = T.words(F.col("name"))
-    rows = forms.select("name", p.alias("p"), F.array_join(tokens, " ").alias("key"), F.size(tokens).alias("n_tokens")).filter((F.col("p") >= least) & F.col("n_tokens").between(1, MAX_NAME_TOKENS))
+    rows = forms.select("name", p.alias("p"), F.array_join(tokens, " ").alias("key"), F.size(tokens).alias("n_tokens")).filter((F.col("p") >= least) & (F.col("n_tokens") >= 1))
     best = F.max_by(F.struct("name", "p", "n_tokens"), F.struct("p", F.col("name")))
     return rows.groupBy("key").agg(best.alias("b")).select("key", "b.n_tokens", "b.name", "b.p")
 
 
-def _grams(first: dict[str, int] | None, known: frozenset[str] | None, key: str):
-    """Token runs of a batch of texts: those that are names if ``known`` is given, else all up to MAX_NAME_TOKENS."""
+def _grams(first: dict[str, int] | None, known: frozenset[str] | None, key: str, longest: int = 0):
+    """Token runs of a batch of texts: those that are names if ``known`` is given, else all of at most ``longest`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -42,7 +41,7 @@ def _grams(first: dict[str, int] | None, known: frozenset[str] | None, key: str)
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 spans = [(m.start(), m.end(), m[0]) for m in PY_WORD.finditer(text)]
                 for i, (start, _, token) in enumerate(spans):
-                    most = MAX_NAME_TOKENS if first is None else first.get(token, 0)
+                    most = longest if first is None else first.get(token, 0)
                     gram = ""
                     for n, (_, end, t) in enumerate(spans[i : i + most], 1):
                         gram = f"{gram} {t}" if gram else t
@@ -60,7 +59,7 @@ def dictionary_matches(docs: DataFrame, names: DataFrame, key: str = "doc_id", t
 
     One pass over the texts in Arrow batches gives tokens, offsets and runs together. A dictionary of at
     most BROADCAST_NAMES names travels with the tasks, which then pass on matches only; a larger one is
-    met by shuffling all runs to it. Texts that are null or hold no token match nothing.
+    met by shuffling all runs up to its longest name to it. Texts that are null or hold no token match nothing.
     """
     known = names.select("key", "n_tokens").limit(BROADCAST_NAMES + 1).collect()
     small = len(known) <= BROADCAST_NAMES
@@ -68,9 +67,10 @@ def dictionary_matches(docs: DataFrame, names: DataFrame, key: str = "doc_id", t
     for r in known if small else ():
         token = r["key"].partition(" ")[0]
         first[token] = max(first.get(token, 0), r["n_tokens"])
+    longest = 0 if small else names.agg(F.max("n_tokens")).first()[0]
     rows = spread(docs.filter(F.col(text).isNotNull()).select(key, text))
     shape = f"{key} {dict(docs.dtypes)[key]}, pos int, n_tokens int, start int, length int, key string"
-    grams = rows.mapInArrow(_grams(first if small else None, frozenset(r["key"] for r in known) if small else None, key), shape)
+    grams = rows.mapInArrow(_grams(first if small else None, frozenset(r["key"] for r in known) if small else None, key, longest), shape)
     right = names.select("key", "name", "p")
     return grams.join(F.broadcast(right) if small else right, "key").select(key, "pos", "n_tokens", "start", "length", "name", "p")
 

@@ -81,6 +81,18 @@ def test_a_large_dictionary_is_joined_instead(spark, monkeypatch):
     assert spotting.dictionary_matches(docs, names.limit(0)).count() == 0
 
 
+def test_long_names_are_found(spark, monkeypatch):
+    long = "The Long and Winding Road to the Very End of It"
+    forms = spark.createDataFrame([(long, 9, 9), ("Road", 5, 5), ("--", 5, 5)], "name string, annotated long, total long")
+    docs = spark.createDataFrame([(1, f"x {long}, Road"), (2, long[:-3])], "doc_id long, text string")
+    names = spotting.dictionary(forms)
+    want = [(1, "Road", 5), (1, "Road", 12), (1, long, 1), (2, "Road", 4)]
+    found = lambda: sorted((r["doc_id"], r["name"], r["pos"]) for r in spotting.dictionary_matches(docs, names).collect())
+    assert found() == want
+    monkeypatch.setattr(spotting, "BROADCAST_NAMES", 0)
+    assert found() == want
+
+
 def test_nil_prunes_a_rare_candidate(spark):
     cands = spark.createDataFrame([(1, "N", "rare", 1, 1000, 1, 0.001), (1, "N", "often", 999, 1000, 900, 0.999)], "occ_id long, name string, uri string, n long, annotated long, support long, prior double")
     sizes = spark.createDataFrame([(100, 50, 1000, 1000)], "n_tokens long, vocabulary long, support long, annotated long")
