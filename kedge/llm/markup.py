@@ -25,6 +25,8 @@ from kedge.session import spread
 KINDS = ("html", "markdown", "wiki", "latex")
 #: A text without any of these holds no markup of any kind.
 TRIGGER = r"[<>&\[\]{}|\\$`#*_=~]|''"
+#: Nor does one without a line of dashes, which may underline a heading.
+DASHES = r"[\r\n]-{2}"
 
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)/?>")
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -391,5 +393,5 @@ def clean_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def markup_kinds(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, kind): one row for each kind of markup of each text, from the same reading as the clean text."""
-    held = df.filter(F.col(text).rlike(TRIGGER))
+    held = df.filter(F.col(text).rlike(f"{TRIGGER}|{DASHES}"))
     return clean_texts(held, key, text).select(key, F.explode("kinds").alias("kind"))

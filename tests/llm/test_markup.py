@@ -46,3 +46,10 @@ def test_table(spark):
     assert got[1] == (None, []) and got[2] == ("", []) and got[3] == ("plain text", []) and got[4] == ("a x", ["html"]) and got[5][1] == ["wiki"]
     assert sorted(tuple(r) for r in m.markup_kinds(df, "occ_id", "context").collect()) == [(4, "html"), (4, "html"), (5, "wiki")]
     assert m.clean_texts(df.limit(0), "occ_id", "context").count() == 0
+
+
+def test_headings_underlined_with_dashes_are_found(spark):
+    df = spark.createDataFrame([(1, "Head\n-----\n\ntext"), (2, "Head\r\n---\r\ntext"), (3, "Head\r---\rtext"), (4, "one - two\n- three"), (5, None), (6, "a -- b")], "occ_id long, context string")
+    cleaned = {(r["occ_id"], k) for r in m.clean_texts(df, "occ_id", "context").collect() for k in r["kinds"]}
+    found = [tuple(r) for r in m.markup_kinds(df, "occ_id", "context").collect()]
+    assert sorted(found) == [(1, "markdown"), (2, "markdown"), (3, "markdown")] and set(found) == cleaned
