@@ -1,8 +1,8 @@
 """Parent links of unknown depth to roots, depths, paths and descendants, by tree contraction.
 
-A round rakes all leaves and splices out an independent set of nodes with one child (unary chains
-shrink by a constant share), so the number of rounds is logarithmic in the nodes, however deep the
-trees are. A node that comes to point at itself is what is left of a circle: the core that no
+A round rakes all leaves and splices out an independent set of the nodes that then have one child (unary
+chains shrink by a constant share), so the number of rounds is logarithmic in the nodes, however deep
+the trees are. A node that comes to point at itself is what is left of a circle: the core that no
 contraction ends. The rounds are then undone in reverse order, each by one join. No round gathers
 the children of a node: they are counted, and the joins on a popular parent are salted.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kedge.operators.skew import heavy_keys, salted_join
-from kedge.session import cut, drop
+from kedge.session import cut, cut_counted, drop
 
 #: Namespace of the titles in the redirects table.
 RESOURCE = "http://kb.example/resource/"
@@ -38,30 +38,30 @@ def redirect_edges(redirects: DataFrame, namespace: str = RESOURCE) -> tuple[Dat
     return nodes, rows.groupBy("node").agg(F.max_by("parent", "line_no").alias("parent"))
 
 
-def _coin(column: str, turn: int) -> Column:
-    return F.pmod(F.xxhash64(F.col(column), F.lit(turn)), F.lit(2)) == 1
-
-
 def _round(live: DataFrame, turn: int) -> DataFrame:
-    """One contraction: every live node with what becomes of it (act: rake, splice or keep)."""
-    kids = live.groupBy(F.col("parent").alias("__p")).agg(F.count(F.lit(1)).alias("kids"), F.min("node").alias("child"))
-    seen = live.join(kids, F.col("node") == F.col("__p"), "left").drop("__p").withColumn("kids", F.coalesce("kids", F.lit(0)))
-    above = seen.filter((F.col("kids") == 1) & _coin("node", turn)).select(
-        F.col("node").alias("v"), F.col("child").alias("c"), F.col("parent").alias("p"), F.col("steps").alias("s"), F.col("least").alias("l"), F.col("via").alias("h")
-    )
-    below = seen.select(F.col("node").alias("__c"), F.col("kids").alias("__k"))
-    spliced = above.join(below, F.col("c") == F.col("__c")).filter((F.col("__k") > 1) | (F.col("__k") == 1) & ~_coin("__c", turn))
-    change = F.explode(F.array(F.struct(F.col("v").alias("at"), F.lit(True).alias("out")), F.struct(F.col("c").alias("at"), F.lit(False).alias("out"))))
-    changes = spliced.select(change.alias("x"), "v", "p", "s", "l", "h").select("x.*", "v", "p", "s", "l", "h")
-    moved = F.col("out").isNotNull() & ~F.col("out")
-    return seen.join(changes, F.col("node") == F.col("at"), "left").select(
+    """One contraction: every live node with what becomes of it (act: rake, splice or keep).
+
+    Leaves are raked. A node with one child that isn't a leaf is spliced out, if its hash is greater than
+    those of its child and its parent: then neither of them is, and each node decides from its own row.
+    A kept node whose parent was spliced out now hangs below that one's parent.
+    """
+    rank = lambda c: F.xxhash64(F.col(c), F.lit(turn))
+    kids = live.groupBy(F.col("parent").alias("__p")).agg(F.count(F.lit(1)).alias("__kids"))
+    seen = live.join(kids, F.col("node") == F.col("__p"), "left").drop("__p")
+    inner = seen.filter(F.col("__kids").isNotNull()).groupBy(F.col("parent").alias("__p")).agg(F.count(F.lit(1)).alias("__inner"), F.min("node").alias("child"))
+    seen = seen.join(inner, F.col("node") == F.col("__p"), "left").drop("__p")
+    out = F.coalesce((F.col("__inner") == 1) & (rank("node") > rank("child")) & (F.col("top") | (rank("node") > rank("parent"))), F.lit(False))
+    above = seen.filter(out).select(F.col("child").alias("__c"), F.col("node").alias("v"), F.col("parent").alias("p"), F.col("steps").alias("s"), F.col("least").alias("l"), F.col("via").alias("h"), F.col("top").alias("t"))
+    moved = F.col("__c").isNotNull()
+    return seen.withColumn("__out", out).join(above, F.col("node") == F.col("__c"), "left").select(
         "node",
         F.when(moved, F.col("p")).otherwise(F.col("parent")).alias("parent"),
         F.when(moved, F.col("steps") + F.col("s")).otherwise(F.col("steps")).alias("steps"),
         F.when(moved, F.least("least", "v", "l")).otherwise(F.col("least")).alias("least"),
         F.when(moved, F.concat("via", F.array("v"), "h")).otherwise(F.col("via")).alias("via"),
-        F.when(F.col("out"), F.col("child")).alias("child"),
-        F.when(F.col("kids") == 0, "rake").when(F.col("out"), "splice").otherwise("keep").alias("act"),
+        F.when(moved, F.col("t")).otherwise(F.col("top")).alias("top"),
+        F.when(F.col("__out"), F.col("child")).alias("child"),
+        F.when(F.col("__kids").isNull(), "rake").when(F.col("__out"), "splice").otherwise("keep").alias("act"),
     )
 
 
@@ -75,83 +75,104 @@ def resolve(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFram
     every node as its own root; no nodes give no rows. Other columns are not carried along.
 
     With paths the result is as large as the sum of the depths, which is its size by definition;
-    without them no row grows with the depth.
+    without them no row grows with the depth. What is written in all rounds together is a multiple of
+    the nodes: a node that hangs at a root is known without asking for the root, so a round's undoing
+    touches only the nodes that were still there in that round.
     """
     edges = edges.filter(F.col("node").isNotNull() & F.col("parent").isNotNull()).select("node", "parent")
     none = F.lit(None).cast("string")
     hidden = F.array().cast("array<string>")
-    first = nodes.filter(F.col("node").isNotNull()).select("node").distinct().join(edges, "node", "left")
-    live = cut(first.select("node", "parent", F.lit(1).cast("long").alias("steps"), none.alias("least"), hidden.alias("via")))
-    keep_via = paths
-
-    def cores(rows: DataFrame) -> DataFrame:
-        """Roots, and the nodes that are the rest of a circle."""
-        ring = F.col("parent").isNotNull()
-        return rows.filter(F.col("parent").isNull() | (F.col("parent") == F.col("node"))).select(
-            "node",
-            F.when(ring, F.least("node", "least")).otherwise(F.col("node")).alias("root"),
-            F.lit(0).cast("long").alias("depth"),
-            F.when(ring, "cycle").otherwise("tree").alias("kind"),
-            F.concat(F.array("node"), "via").alias("path"),
-        )
+    first = cut(nodes.filter(F.col("node").isNotNull()).select("node").distinct().join(edges, "node", "left"))
+    heavy = first.sparkSession.createDataFrame(heavy_keys(first.filter(F.col("parent").isNotNull()), ["parent"]).collect(), "parent string, __salts int")
+    hot = not heavy.isEmpty()
 
-    def inner(rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col("parent") != F.col("node"))
+    def to_parent(rows: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+        if hot:
+            return salted_join(rows, right, "parent", key, how, heavy=heavy, spread=["node"])
+        return rows.join(right, F.col("parent") == F.col(key), how)
 
-    def lean(rows: DataFrame) -> DataFrame:
-        return rows if keep_via else rows.withColumn("via", hidden)
+    roots = first.filter(F.col("parent").isNull()).select("node")
+    linked = to_parent(first.filter(F.col("parent").isNotNull()), roots.select(F.col("node").alias("__r")), "__r", "left")
+    live = linked.select("node", "parent", F.lit(1).cast("long").alias("steps"), none.alias("least"), hidden.alias("via"), F.col("__r").isNotNull().alias("top"))
 
-    heavy = cut(heavy_keys(edges, ["parent"]))
-    hot = heavy.limit(1).count() > 0
-    start, ends, records, turn = live, [cores(live)], [], 0
-    live = inner(live)
+    def cores(rows: DataFrame) -> DataFrame:
+        """What is left of circles."""
+        path = [F.concat(F.array("node"), "via").alias("path")] if paths else []
+        return rows.filter(F.col("parent") == F.col("node")).select("node", F.least("node", "least").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit("cycle").alias("kind"), *path)
+
+    # the rows of each round as (table, rakes, splices, circles)
+    states: list[tuple[DataFrame, dict[str, int]]] = []
+    ends = [cores(live)]
+    live = live.filter(F.col("parent") != F.col("node"))
+    turn = 0
     while True:
-        state = cut(lean(_round(live, turn)))
-        acts = {r["act"]: r["n"] for r in state.groupBy("act").agg(F.count(F.lit(1)).alias("n")).collect()}
-        if not acts:
+        act, ring = F.col("act"), F.col("parent") == F.col("node")
+        state, n = cut_counted(_round(live, turn) if paths else _round(live, turn).withColumn("via", hidden), rake=act == "rake", splice=act == "splice", ring=(act == "keep") & ring, live=(act == "keep") & ~ring)
+        states.append((state, n))
+        kept = state.filter(act == "keep").drop("act", "child")
+        if n["ring"]:
+            ends.append(cores(kept))
+        if not n["live"]:
             break
-        records.append((state.filter(F.col("act") != "keep"), acts.get("splice", 0) > 0))
-        kept = state.filter(F.col("act") == "keep").drop("act", "child")
-        ends.append(cores(kept))
-        live = inner(kept)
+        live = kept.filter(~ring)
         turn += 1
-        if not acts.get("keep"):
-            break
 
-    done = cut(reduce(DataFrame.unionByName, ends))
-    for rows, has_spliced in reversed(records):
-        up = done.select(F.col("node").alias("__n"), F.col("root"), F.col("depth").alias("__d"), F.col("kind").alias("__k"), *([F.col("path").alias("__p")] if paths else []))
-        if hot:
-            got = salted_join(rows, up, "parent", "__n", heavy=heavy, spread=["node"])
-        else:
-            got = rows.join(up, F.col("parent") == F.col("__n"))
+    def known(rows: DataFrame, done: DataFrame, spliced: bool) -> DataFrame:
+        """Rows of a round by those that their parents have: at a root at once, else by a join."""
+        up = done.select(F.col("node").alias("__n"), F.col("root").alias("__root"), F.col("depth").alias("__d"), F.col("kind").alias("__k"), *([F.col("path").alias("__p")] if paths else []))
+        got = to_parent(rows.filter(~F.col("top")), up, "__n")
         on_ring = F.lit(False)
-        if has_spliced:
+        if spliced:
             rings = done.filter(F.col("kind") == "cycle").select(F.col("node").alias("__c"), *([F.col("path").alias("__ring")] if paths else []))
             got = got.join(rings, F.col("child") == F.col("__c"), "left")
             on_ring = F.col("__c").isNotNull()
-        path = hidden
+        path = []
         if paths:
-            path = F.concat(F.array("node"), "via", "__p")
-            if has_spliced:
+            along = F.concat(F.array("node"), "via", "__p")
+            if spliced:
                 at = F.array_position("__ring", F.col("node")).cast("int")
-                path = F.when(on_ring, F.concat(F.slice("__ring", at, F.size("__ring")), F.slice("__ring", F.lit(1), at - 1))).otherwise(path)
-        new = got.select(
+                along = F.when(on_ring, F.concat(F.slice("__ring", at, F.size("__ring")), F.slice("__ring", F.lit(1), at - 1))).otherwise(along)
+            path = [along.alias("path")]
+        return got.select(
             "node",
-            "root",
+            F.col("__root").alias("root"),
             F.when(on_ring, F.lit(0).cast("long")).otherwise(F.col("__d") + F.col("steps")).alias("depth"),
             F.when(on_ring, "cycle").when(F.col("__k") == "tree", "tree").otherwise("tail").alias("kind"),
-            path.alias("path"),
+            *path,
         )
-        before, done = done, cut(done.unionByName(new))
-        drop(before, rows)
-    drop(start, heavy)
-    return done if paths else done.drop("path")
+
+    def below_roots(rows: DataFrame) -> DataFrame:
+        path = [F.concat(F.array("node"), "via", F.array("parent")).alias("path")] if paths else []
+        return rows.filter("top").select("node", F.col("parent").alias("root"), F.col("steps").alias("depth"), F.lit("tree").alias("kind"), *path)
+
+    # Undone together: the splices of a round and the rakes of the next. A raked node's parent stayed or was
+    # spliced later, and a spliced node's parent had a child that stayed, so neither hangs on the other.
+    done = cut(reduce(DataFrame.unionByName, ends))
+    circles = len(ends) > 1 or not done.isEmpty()
+    for k in range(len(states), -1, -1):
+        new = []
+        if k < len(states) and states[k][1]["rake"]:
+            rows = states[k][0].filter(F.col("act") == "rake")
+            new += [below_roots(rows), known(rows, done, False)]
+        if k and states[k - 1][1]["splice"]:
+            rows = states[k - 1][0].filter(F.col("act") == "splice")
+            new += [below_roots(rows), known(rows, done, circles)]
+        if new:
+            before, done = done, cut(reduce(DataFrame.unionByName, [done, *new]))
+            drop(before)
+        if k < len(states):
+            drop(states[k][0])
+    top = roots.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit("tree").alias("kind"), *([F.array("node").alias("path")] if paths else []))
+    return top.unionByName(done)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
     """(ancestor, node, distance): every node with every node that it leads to, from ``resolve(paths=True)``.
 
-    One row per pair, never a list per ancestor: a popular one may have a third of all nodes below it.
+    One row per pair, never a list per ancestor: a popular one may have a third of all nodes below it. A
+    circle counts once, as its root, at the distance at which it is reached; which nodes lie on it, and so
+    lead to one another, is said by ``resolve`` (kind ``cycle``, same root), not by all their pairs.
     """
-    return resolved.select("node", F.posexplode("path").alias("distance", "ancestor")).filter(F.col("distance") > 0).select("ancestor", "node", F.col("distance").cast("long").alias("distance"))
+    off_ring = F.when(F.col("kind") == "tree", F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("depth").cast("int")))
+    steps = F.when(F.col("kind") == "tail", F.concat(off_ring, F.array("root"))).otherwise(off_ring)
+    return resolved.select("node", F.posexplode(steps).alias("distance", "ancestor")).filter(F.col("distance") > 0).select("ancestor", "node", F.col("distance").cast("long").alias("distance"))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from kedge.functions import text as T
 from kedge.functions.scalars import types_of_csv
 from kedge.operators.skew import salted_join
+from kedge.session import cut
 
 # Thresholds of the build.
 MIN_ANNOTATED, MIN_CONTEXT, MIN_ANNOTATION_PROBABILITY = 2, 3, 0.05
@@ -41,8 +42,12 @@ def annotation_probability(annotated: Column, total: Column) -> Column:
 
 
 def with_ids(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Dense ids from 1 in the order of a column: range partitions are numbered one by one, not all rows in one task."""
-    ranked = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
+    """Dense ids from 1 in the order of a column: range partitions are numbered one by one, not all rows in one task.
+
+    The partitions' numbers are written with the rows before they are used twice, since a plan that is run
+    again may cut the ranges elsewhere.
+    """
+    ranked = cut(df.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()))
     inside = ranked.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
     sizes = inside.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__b")

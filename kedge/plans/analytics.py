@@ -311,25 +311,44 @@ def h29_related(spark: SparkSession, d: str) -> DataFrame:
     return topics.related(_pages(spark, d), "page", 5)
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+@query("SELECT event_id, event_type, user_id FROM events")
 def k01_replayed_feed(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream of micro-batches, projected, written and counted."""
-    stream = feeds.replay(spark, f"{d}/events.parquet").select("event_id", "event_type", "user_id")
-    return feeds.collected(stream).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    """Events as a stream of micro-batches, projected and written."""
+    return feeds.collected(feeds.replay(spark, f"{d}/events.parquet").select("event_id", "event_type", "user_id"))
 
 
-@query("SELECT count(DISTINCT event_id) AS n FROM events")
+@query("SELECT 'events' AS feed, event_id FROM events UNION ALL SELECT 'occurrences', occ_id FROM occs")
+def k03_registered_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Two feeds found by the columns they deliver, each decorated to one shape."""
+    known = feeds.Registry()
+    known.add("events", feeds.replay(spark, f"{d}/events.parquet"))
+    known.add("occurrences", feeds.replay(spark, f"{d}/occs.parquet"))
+    got = {**known.with_columns("event_id"), **known.with_columns("occ_id")}
+    shaped = [feeds.collected(feeds.decorated(v, lambda f, k=k: f.select(F.lit(k).alias("feed"), F.col(f.columns[0]).alias("event_id")))) for k, v in sorted(got.items())]
+    return shaped[0].unionByName(shaped[1])
+
+
+@query("SELECT DISTINCT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS at FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00'")
 def k06_new_items(spark: SparkSession, d: str) -> DataFrame:
-    """Each event once, under a watermark."""
+    """Each event after the poll mark once."""
     stream = feeds.replay(spark, f"{d}/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    return feeds.collected(feeds.new_items(stream, "event_id", "ts")).agg(F.count(F.lit(1)).alias("n"))
+    got = feeds.collected(feeds.new_items(stream, "event_id", "ts", delay=None, since="2024-01-10 00:00:00"))
+    return got.select("event_id", F.unix_timestamp("ts").alias("at"))
 
 
-@query("SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+@query("""SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2
+  HAVING epoch(time_bucket(INTERVAL '1 day', min(ts))) + 86400 <= (SELECT epoch(max(ts)) - 3600 FROM events)""")
 def k09_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Events per day and type, windows of event time; the windows that a watermark leaves open at the end are completed from the table."""
-    events = table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts")).filter(F.col("ts").isNotNull())
-    return feeds.windowed_counts(events, "ts", "event_type", "1 day").select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+    """Events per day and type from a stream: the windows that the watermark (an hour behind the last event) has made final."""
+    stream = feeds.replay(spark, f"{d}/events.parquet", files_per_batch=1_000_000).select("event_type", F.col("ts").cast("timestamp").alias("ts")).filter(F.col("ts").isNotNull())
+    return feeds.collected(feeds.windowed_counts(stream, "ts", "event_type", "1 day")).select(F.unix_timestamp("start").alias("start"), "event_type", "n")
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY event_type")
+def k01_running_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The last state of counts that a stream keeps up to date."""
+    stream = feeds.replay(spark, f"{d}/events.parquet").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    return feeds.collected(stream, "complete")
 
 
 @query("SELECT occ_id, link_uri AS uri, name FROM (SELECT occ_id, split_part(link, '|', 1) AS link_uri, CASE WHEN contains(link, '|') THEN split_part(link, '|', 2) ELSE link END AS name FROM (SELECT occ_id, unnest(regexp_extract_all(context, '\\[\\[([^\\[\\]]*)\\]\\]', 1)) AS link FROM occs))")

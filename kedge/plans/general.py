@@ -22,6 +22,7 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every title with those that it leads to; a circle is one class, with p1_found as its membership."""
     nodes, edges = hierarchy.redirect_edges(table(spark, d, "redirects"))
     return hierarchy.descendants(hierarchy.resolve(nodes, edges, paths=True))
 
@@ -106,7 +107,9 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found,
 SQL = {
     "p1_found": f"WITH RECURSIVE {_EDGES} SELECT node, root, CAST(depth AS BIGINT) AS depth, kind FROM found",
     "p1_paths": f"WITH RECURSIVE {_EDGES} SELECT node, root, CAST(depth AS BIGINT) AS depth, kind, array_to_string(path, ' > ') AS path FROM found",
-    "p1_descendants": f"WITH RECURSIVE {_EDGES} SELECT path[i] AS ancestor, node, CAST(i - 1 AS BIGINT) AS distance FROM (SELECT node, path, unnest(generate_series(2, len(path))) AS i FROM found)",
+    "p1_descendants": f"""WITH RECURSIVE {_EDGES} SELECT path[i] AS ancestor, node, CAST(i - 1 AS BIGINT) AS distance
+      FROM (SELECT node, path, unnest(generate_series(2, CASE WHEN kind = 'tree' THEN len(path) ELSE depth END)) AS i FROM found)
+      UNION ALL SELECT root, node, CAST(depth AS BIGINT) FROM found WHERE kind = 'tail'""",
     "p2_found": f"{_P2} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p2_rows": f"{_P2} SELECT line_id, file_name, f[1] AS id, f[2] AS uri, f[3] AS surface_form, f[4] AS context, CAST(f[5] AS INTEGER) AS text_offset FROM judged WHERE reason IS NULL",
     "p4_found": """

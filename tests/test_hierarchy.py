@@ -73,5 +73,12 @@ def test_descendants(spark):
     assert got == {("b", "a", 1), ("c", "a", 2), ("c", "b", 1)}
 
 
+def test_descendants_take_a_circle_once(spark):
+    edges = [("u", "t"), ("t", "y"), ("x", "y"), ("y", "z"), ("z", "x"), ("s", "s")]
+    n = spark.createDataFrame([(v,) for v in "utxyzs"], "node string")
+    got = hierarchy.descendants(hierarchy.resolve(n, spark.createDataFrame(edges, "node string, parent string"), paths=True))
+    assert {tuple(r) for r in got.collect()} == {("t", "u", 1), ("x", "u", 2), ("x", "t", 1)}
+
+
 if __name__ == "__main__":
     pytest.main([__file__])
