@@ -13,11 +13,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
+
+from kedge.operators.skew import salted_join
+from kedge.session import cut, spread
 
 # Letters of the same printed shape, Latin then Cyrillic or Greek or other scripts.
 SAME_SHAPE = """
@@ -121,6 +124,7 @@ def look(token: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", token.translate(LOOK)).translate(LOOK))
 
 
+@lru_cache(maxsize=4096)
 def script(char: str) -> str | None:
     if not char.isalpha():
         return None
@@ -142,78 +146,87 @@ def dominant(token: str) -> str | None:
     return max(got, key=got.__getitem__) if got else None
 
 
-TOKEN = re.compile(r"[^ \-]+")
+PIECE = re.compile(r"[^ \-]+|[ \-]+")
+_SCHEMA = "pos int, piece string, look string, script string, mixed boolean"
 
 
-class Repair:
-    """Token repair against a vocabulary: tokens of the given names by what they look like."""
+def pieces(values: DataFrame) -> DataFrame:
+    """(value, known, pos, piece, look, script, mixed): the tokens of each value once its characters are settled, with
+    what each looks like, its dominant script, and whether it mixes scripts; what stands between tokens has no look."""
 
-    def __init__(self, names: list[str]) -> None:
-        self.words: set[str] = set()
-        self.by_look: dict[str, list[str]] = {}
-        for name in sorted(set(names)):
-            for t in TOKEN.findall(settled(name)):
-                if t not in self.words:
-                    self.words.add(t)
-                    self.by_look.setdefault(look(t), []).append(t)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, tuple[str, str | None, bool]] = {}
+        for b in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for value, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for pos, piece in enumerate(PIECE.findall(settled(value)) or [""]):
+                    shown: tuple = (None, None, False)
+                    if piece and piece[0] not in " -":
+                        if piece not in seen:
+                            if len(seen) > 100_000:
+                                seen.clear()
+                            seen[piece] = (look(piece), dominant(piece), len(scripts(piece)) > 1)
+                        shown = seen[piece]
+                    for col, v in zip(out, (value, known, pos, piece, *shown), strict=True):
+                        col.append(v)
+            types = [pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["value", "known", "pos", "piece", "look", "script", "mixed"])
 
-    def token(self, t: str) -> str:
-        if t.isascii() and t in self.words or not any(ord(c) in LOOK for c in t) or t in self.words and len(scripts(t)) < 2:
-            return t
-        options = self.by_look.get(look(t), ())
-        main = dominant(t)
-        # of the words that look the same, the one in the token's dominant script; the token as it is if none looks so
-        return min(options, key=lambda w: (dominant(w) != main, w != t, w), default=t)
+    return values.select("value", "known").mapInArrow(read, f"value string, known boolean, {_SCHEMA}")
 
-    def text(self, s: str) -> str:
-        return TOKEN.sub(lambda m: self.token(m[0]), settled(s))
 
-    def looks(self, s: str) -> str:
-        """The key under which all spellings of one look meet."""
-        return TOKEN.sub(lambda m: look(self.token(m[0])), settled(s))
+def token_repairs(rows: DataFrame) -> DataFrame:
+    """(piece, repaired, class): for each token that looks like words of the vocabulary (the tokens of known values) the
+    word that takes its place, and the first of the words that all look so.
 
+    A vocabulary word of one script stays. Of several words that look like the token, the one in the token's
+    dominant script is taken, then the token itself, then the first. Tokens without such a word aren't
+    here: they stay as they are. Token and word meet by an equality join on their look, so neither the
+    vocabulary nor the tokens must fit into one task.
+    """
+    words = rows.filter(F.col("known") & F.col("look").isNotNull()).select(F.col("piece").alias("word"), "look", F.col("script").alias("word_script")).distinct()
+    tokens = rows.filter(F.col("look").isNotNull()).select("piece", "look", "script", "mixed").distinct()
+    same = F.col("word") == F.col("piece")
+    order = F.struct((~(same & ~F.col("mixed"))).alias("a"), (~F.col("word_script").eqNullSafe(F.col("script"))).alias("b"), (~same).alias("c"), F.col("word").alias("d"))
+    return tokens.join(words, "look").groupBy("piece").agg(F.min_by("word", order).alias("repaired"), F.min("word").alias("class"))
 
-def repair_forms(forms: DataFrame, column: str, names: list[str]) -> DataFrame:
-    """Add ``repaired`` (the one form) and ``looks`` (the key that all texts of this look share). Null stays null, the empty text is empty."""
 
-    @pandas_udf("repaired string, looks string")
-    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        r = Repair(names)
-        for s in parts:
-            yield pd.DataFrame({"repaired": [None if x is None else r.text(x) for x in s], "looks": [None if x is None else r.looks(x) for x in s]})
+def repair_values(values: DataFrame) -> DataFrame:
+    """(value, known, repaired, key) of distinct ``values`` (value, known: whether its tokens are vocabulary), null ones left out.
 
-    got = forms.withColumn("__r", both(F.col(column)))
-    return got.withColumn("repaired", F.col("__r.repaired")).withColumn("looks", F.col("__r.looks")).drop("__r")
+    ``repaired`` is the one form; ``key`` has each repaired token as the first word of its looks, so that values of
+    one look meet even where the vocabulary holds it in several scripts. The empty text stays empty.
+    """
+    rows = cut(pieces(spread(values.filter(F.col("value").isNotNull()))))
+    fixed = token_repairs(rows).filter((F.col("repaired") != F.col("piece")) | (F.col("class") != F.col("piece"))).withColumnRenamed("piece", "__t")
+    met = salted_join(rows.select("value", "known", "pos", "piece"), fixed, "piece", "__t", "left", spread=["value", "pos"])
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("repaired", "piece").alias("r"), F.coalesce("class", "piece").alias("k"))))
+    joined = lambda c: F.array_join(F.transform("__x", lambda x: x[c]), "")
+    return met.groupBy("value", "known").agg(parts.alias("__x")).select("value", "known", joined("r").alias("repaired"), joined("k").alias("key"))
 
 
-#: The vocabulary of names is sent to every task; beyond this many characters it is refused rather than sent.
-MAX_VOCABULARY_CHARS = 64 << 20
+def _values(forms: DataFrame, names: DataFrame) -> DataFrame:
+    known = names.filter(F.col("name").isNotNull()).select(F.col("name").alias("value")).distinct()
+    odd = forms.filter(F.col("surface_form").isNotNull()).select(F.col("surface_form").alias("value")).distinct().join(known, "value", "left_anti")
+    return known.withColumn("known", F.lit(True)).unionByName(odd.withColumn("known", F.lit(False)))
 
 
-def vocabulary(names: DataFrame, column: str) -> list[str]:
-    """The names as a list, after a check of their size (the table of names doesn't grow with the text)."""
-    names = names.filter(F.col(column).isNotNull()).select(column).distinct()
-    size = names.agg(F.coalesce(F.sum(F.char_length(column)), F.lit(0))).first()[0]
-    if size > MAX_VOCABULARY_CHARS:
-        raise ValueError(f"the vocabulary has {size} characters; more than {MAX_VOCABULARY_CHARS} are not broadcast")
-    return [r[0] for r in names.collect()]
+def repair_forms(forms: DataFrame, names: DataFrame) -> DataFrame:
+    """(surface_form, repaired) of every distinct form but null, by the vocabulary of ``names.name``."""
+    kept = forms.select("surface_form").distinct()
+    return repair_values(_values(kept, names)).select(F.col("value").alias("surface_form"), "repaired").join(kept, "surface_form", "left_semi")
 
 
 def match_lookalikes(occs: DataFrame, names: DataFrame) -> DataFrame:
-    """(occ_id, sf_id): mentions equal to no name that look like one after repair.
+    """(occ_id, sf_id): mentions equal to no name that are the same as one after repair.
 
     A mention that looks like several names comes out with each. Null and empty mentions and names
     match nothing. Each distinct spelling is repaired once, so frequent ones cost nothing more.
     """
-    words = vocabulary(names, "name")
-    known = names.filter(F.col("name").isNotNull() & (F.col("name") != "")).select("sf_id", "name")
-    forms = occs.filter(F.col("surface_form").isNotNull()).groupBy("surface_form").agg(F.count(F.lit(1)).alias("__n"))
-    odd = forms.join(known.select(F.col("name").alias("surface_form")).distinct(), "surface_form", "left_anti")
-    fixed = repair_forms(odd.select("surface_form"), "surface_form", words)
-    looks = repair_forms(known, "name", words).select("sf_id", "looks")
-    pairs = fixed.join(looks, "looks").select("surface_form", "sf_id")
+    names = names.select("sf_id", "name")
+    fixed = repair_values(_values(occs, names)).filter(F.col("value") != "")
+    odd = fixed.filter(~F.col("known")).select(F.col("value").alias("__sf"), "key")
+    pairs = odd.join(fixed.filter("known").select(F.col("value").alias("name"), "key"), "key").join(names, "name").select("__sf", "sf_id")
     # the pairs are fewer than the spellings of known names; where a few spellings hold most rows, the join splits them
-    from kedge.operators.skew import salted_join
-
     rows = occs.filter(F.col("surface_form").isNotNull()).select("occ_id", "surface_form")
-    return salted_join(rows, pairs.withColumnRenamed("surface_form", "__sf"), "surface_form", "__sf", spread=["occ_id"]).select("occ_id", "sf_id")
+    return salted_join(rows, pairs, "surface_form", "__sf", spread=["occ_id"]).select("occ_id", "sf_id")

@@ -24,9 +24,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     """Every surface form in its one form, with the number of its rows."""
-    names = lookalikes.vocabulary(table(spark, d, "surface_forms"), "name")
     forms = table(spark, d, "occs").filter(F.col("surface_form").isNotNull()).groupBy("surface_form").agg(F.count(F.lit(1)).alias("n"))
-    return lookalikes.repair_forms(forms, "surface_form", names).select("surface_form", "repaired", "n")
+    return lookalikes.repair_forms(forms, table(spark, d, "surface_forms")).join(forms, "surface_form").select("surface_form", "repaired", "n")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
