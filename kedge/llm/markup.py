@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -45,24 +46,28 @@ MATH = re.compile(
     r"|(?<![\w$\\])\$(?=[^\s$\d])([^$\n]*[^\s$\\])\$(?!\w)|(?<![\w$\\])\$(?=[^\s$\d])([^$\n]*[\\^_=][^$\n]*)\Z|(?<![\w$\\])\$(?=\d+[ ]*[a-zA-Z\\^_=+*/-])([^$\n]*[\\^_=][^$\n]*)\$",
     re.S,
 )
+TEX_GROUP = re.compile(r"\\[{}]|(?<![\w:\\./])\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{|[{}\n]")
 COMMAND = re.compile(r"(?<![\w:\\./])\\[a-zA-Z]+|(?<!\\)\\[%&#_{}$](?=[\s\w.,;:)]|\Z)")
 CUT_TEX = re.compile(r"(?<=\S)~\\\Z|(?<=[\s.(])\\(?:[a-z]+)?\Z")
 
 WIKI_TABLE = re.compile(r"(?m)^[ :]*\{\|[^\n]*(?:\n|\Z)(.*?)(?:^\|\}|\Z)", re.S)
 WIKI_LINK = re.compile(r"\[\[([^\[\]|\n]*)((?:\|[^\[\]|\n]*)*)(?:\]\]|\]?\Z)")
-TEMPLATE = re.compile(r"(?<![\\\w{])\{\{(?=[^\W\d_#]|#\w|\Z)[^{}]*(?:\}\}|\}?\Z)")
+TEMPLATE_OPEN = re.compile(r"(?<![\\\w{])\{\{(?=[^\W\d_#]|#\w|\Z)")
+BRACES = re.compile(r"\{\{|\}\}|[{}]")
 WIKI_HEAD = re.compile(r"(?m)^(={2,6})(?!=)[ ]*([^=\n][^\n]*?)[ ]*(?:\1[ ]*$|={0,5}\Z)")
-QUOTES = re.compile(r"(?<![\w'])('{2,5})(?=[^\s'])([^\n]{0,1000}?[^\s'])(?:'{2,5}(?!')|\Z)")
+QUOTES_OPEN, QUOTES_CLOSE, QUOTES_CUT = re.compile(r"(?<![\w'])'{2,5}(?=[^\s'])"), re.compile(r"(?<=[^\s'])'{2,5}(?!')"), re.compile(r"(?<=[^\s'])\Z")
 EXTERNAL = re.compile(r"(?<![\]\w!])\[((?:https?|ftp)://[^\s\]]*)(?:[ ]([^\]\n]*))?(?:\]|\Z)(?!\()")
 REDIRECT = re.compile(r"(?im)^#(?:REDIRECT|WEITERLEITUNG|REDIRECTION|REDIRECCIÓN)\b")
 MAGIC = re.compile(r"__[A-Z]{3,}__")
 
 MD_HEAD = re.compile(r"(?m)^(#{1,6})[ ]++(\S[^\n]*)$")
-SETEXT = re.compile(r"(?m)^(?!\W*$)([^\n|]+)\n(={3,}|-{3,})[ ]*$|^([^\n|.]{1,60}[^\n|.:!?])\n(={1,2})\Z")
+SETEXT = re.compile(r"(?m)^(?!\W*$)([^\n|]+)\n(={3,}|-{3,})[ ]*$|^([^\n|.]+[^\n|.:!?])\n(={1,2})\Z")
 MD_LINK = re.compile(r"(!?)(?<!\[)\[([^\[\]\n]*)\]\(([^()\s]*(?:[ ]\"[^\"\n]*\")?)(?:\)|\Z)")
 REF_LINK = re.compile(r"(?<![\w\]\[])(!?)\[(?=[^\[\]\n]*[^\W\d])([^\[\]\n]*+)\]\[([^\[\]\n]*+)(?:\]|\Z)")
 CUT_LINK = re.compile(r"!\[[^\[\]\n]*\]?\Z|(?<![\w\[!])\[(?!sic\b)(?=[^\W\d_][^\[\]\n]{2})[^\[\]\n]*\]?\Z")
-STRONG = re.compile(r"(?<![\w*])(\*{2,3})(?=[^\s*])([^\n]{0,1000}?[^\s*])(?:\1(?!\*)|\*{0,2}\Z)|(?<![\w_])(__)(?=[^\s_])([^\n]{0,1000}?[^\s_])(?:__(?![\w_])|_?\Z)")
+STRONG_OPEN = re.compile(r"(?<![\w*])\*{2,3}(?=[^\s*])|(?<![\w_])__(?=[^\s_])")
+STRONG_CLOSE = re.compile(r"(?<=[^\s*])\*{2,3}(?!\*)|(?<=[^\s_])__(?![\w_])")
+STRONG_CUT = {"*": re.compile(r"(?<=[^\s*])\*{0,2}\Z"), "_": re.compile(r"(?<=[^\s_])_?\Z")}
 EMPHASIS = re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*[^\s*])\*(?![\w*])|(?<![\w_\\])_(?=[^\s_])([^_\n]*[^\s_])_(?![\w_])")
 MD_RULE_ROW = re.compile(r"(?m)^[ ]*+\|?+[ ]*+:?-{3,}+:?[ ]*+(?:\|[ ]*+:?-{3,}+:?[ ]*+)*+\|")
 MD_ROW = re.compile(r"(?m)^[ ]*+\|[ ][^|\n]++\|(?!\|)(?:[^|\n]++\|)*+(?:[^|\n]*+\Z|[ ]*$)")
@@ -73,6 +78,90 @@ CONTAINERS = frozenset("div section article main body nav aside header footer fo
 LINK_OPEN, LINK_CLOSE, KEEP = "\ue000", "\ue001", "\ue002"
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the spans, which may lie in one another."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if b > at:
+            out.append(text[at : max(a, at)])
+            at = b
+    return "".join(out) + text[at:]
+
+
+def template_spans(t: str) -> list[tuple[int, int]]:
+    """Templates, however deep in one another, also cut off at the end. One pass with a stack: a brace that belongs
+    to no template keeps those around it."""
+    spans: list[tuple[int, int]] = []
+    opened: list[int] = []
+    starts = {m.start() for m in TEMPLATE_OPEN.finditer(t)}
+    at = 0
+    while m := BRACES.search(t, at):
+        at = m.end()
+        if m[0] == "{{" and m.start() in starts:
+            opened.append(m.start())
+        elif m[0][0] == "{":
+            opened.append(-1)
+            at = m.start() + 1
+        elif m[0] == "}}" and opened and opened[-1] >= 0:
+            spans.append((opened.pop(), at))
+        elif m[0] == "}" and at == len(t) and opened and opened[-1] >= 0:
+            break
+        else:
+            opened.clear()
+            at = m.start() + 1
+    while opened and opened[-1] >= 0:
+        spans.append((opened.pop(), len(t)))
+    return spans
+
+
+def unwrapped_tex(t: str) -> str:
+    """Commands with their braces taken off what they hold, however deep, also cut off at the end; arguments end with their line."""
+    spans: list[tuple[int, int]] = []
+    opened: list[tuple[int, int] | None] = []
+    for m in TEX_GROUP.finditer(t):
+        if m[0] == "\n":
+            opened.clear()
+        elif m[0] == "}":
+            if opened and (span := opened.pop()) is not None:
+                spans += [span, m.span()]
+        elif m[0] == "{":
+            opened.append(None)
+        elif m[0][-1] == "{" and len(m[0]) > 2:
+            opened.append(m.span())
+    return without(t, spans + [span for span in opened if span is not None])
+
+
+def paired(t: str, opener: re.Pattern, closer: re.Pattern, tail: Callable[[str], re.Pattern], alike: bool) -> tuple[str, bool]:
+    """Text between marks of one line without them, and whether there was any: each opener goes with the next closer
+    (of the same signs if ``alike``); on the last line the end of the text closes too. Marks are found once and
+    met by binary search, so spans may be of any length."""
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in closer.finditer(t):
+        ends.setdefault(m[0] if alike else "", []).append(m.span())
+    breaks = [i for i, c in enumerate(t) if c == "\n"]
+    out, at, tails = [], 0, {}
+    for m in opener.finditer(t):
+        if m.start() < at:
+            continue
+        k = bisect(breaks, m.end())
+        last = k == len(breaks)
+        marks = ends.get(m[0] if alike else "", [])
+        j = bisect(marks, (m.end(), len(t)))
+        if last and m[0][0] not in tails:
+            # the end of the text has at most a few signs, so it is looked for there only
+            cut = tail(m[0]).search(t, max(0, len(t) - 3))
+            tails[m[0][0]] = cut.span() if cut else (-1, -1)
+        if j < len(marks) and (last or marks[j][1] <= breaks[k]):
+            inner, after = marks[j]
+        elif last and tails[m[0][0]][0] > m.end():
+            inner, after = tails[m[0][0]]
+        else:
+            continue
+        out += [t[at : m.start()], t[m.end() : inner]]
+        at = after
+    return "".join(out) + t[at:], at > 0
+
+
 @dataclass
 class Node:
     tag: str
@@ -154,10 +243,7 @@ class Reader:
             t = re.sub(r"~?\\(?:cite[a-z]*|ref|label|pageref|eqref)\*?(?:\[[^\]]*\])?(?:\{[^{}\n]*(?:\}|\Z))?", "", t)
             t = re.sub(r"\\(?:begin|end)\{[^{}\n]*(?:\}|\Z)", "\n", t)
             t = re.sub(r"\\item\b[ ]*", "\n- ", t)
-            for _ in range(4):
-                t, n = re.subn(r"(?<![\w:\\./])\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?\{([^{}\n]*)(?:\}|\Z)", r"\1", t)
-                if not n:
-                    break
+            t = unwrapped_tex(t)
             t = COMMAND.sub(lambda m: m[0][1:] if not m[0][1].isalpha() else "", t)
             t = CUT_TEX.sub("", t)
         return t
@@ -186,15 +272,14 @@ class Reader:
 
         if "[" in t or "{{" in t or "''" in t or "==" in t or "__" in t:
             t = REDIRECT.sub(lambda m: found("wiki", ""), t)
-            for _ in range(3):
-                t, n = TEMPLATE.subn(lambda m: found("wiki", ""), t)
-                if not n:
-                    break
+            if spans := template_spans(t):
+                t = found("wiki", without(t, spans))
             t = WIKI_LINK.sub(wiki_link, t)
             t = EXTERNAL.sub(lambda m: found("wiki", self._link(m[2] or m[1])), t)
             t = SETEXT.sub(lambda m: found("markdown", KEEP + "h" + ("# " if (m[2] or m[4])[0] == "=" else "## ") + (m[1] or m[3])), t)
             t = WIKI_HEAD.sub(lambda m: found("wiki", KEEP + "h" + "#" * (len(m[1]) - 1) + " " + m[2]), t)
-            t = QUOTES.sub(lambda m: found("wiki", m[2]), t)
+            t, held = paired(t, QUOTES_OPEN, QUOTES_CLOSE, lambda _: QUOTES_CUT, alike=False)
+            t = found("wiki", t) if held else t
             t = MAGIC.sub(lambda m: found("wiki", ""), t)
             if re.search(r"\n==?\Z", t):
                 t = found("wiki", re.sub(r"\n==?\Z", "", t))
@@ -209,7 +294,8 @@ class Reader:
             if CUT_LINK.search(t):
                 t = found("markdown", CUT_LINK.sub(lambda m: m[0].lstrip("!["), t))
         if "*" in t or "_" in t:
-            t = STRONG.sub(lambda m: found("markdown", m[2] or m[4]), t)
+            t, held = paired(t, STRONG_OPEN, STRONG_CLOSE, lambda mark: STRONG_CUT[mark[0]], alike=True)
+            t = found("markdown", t) if held else t
             t = EMPHASIS.sub(lambda m: found("markdown", m[1] or m[2]), t)
         if "|" in t:
             if MD_RULE_ROW.search(t) or MD_ROW.search(t):
@@ -305,8 +391,15 @@ class Reader:
             node.add(tag, text, links)
 
 
+#: Leaves that are structure by themselves: a container that holds one is no boilerplate unless it is made of links.
+STRUCTURE = frozenset(("code", "formula", "table"))
+
+
 def score_tree(root: Node) -> None:
-    """Paragraphs pass points for length and commas to the container above, and half to the next."""
+    """Every leaf passes points for length, and for commas if it is text, to the container above, and half to the next.
+
+    Short ones (headings, items, formulas) pass a share of a point, so a container made of them has a score too.
+    """
     root.measure()
     todo = [root]
     while todo:
@@ -314,15 +407,30 @@ def score_tree(root: Node) -> None:
         for c in node.children:
             if c.tag in CONTAINERS:
                 todo.append(c)
-            elif len(c.text) >= 25 and c.tag in ("p", "li", "dd", "blockquote", "table"):
-                points = 1 + c.text.count(",") + min(len(c.text) / 100, 3)
-                node.points += points
-                if node.parent is not None:
-                    node.parent.points += points / 2
+                continue
+            points = min(len(c.text) / 25, 1) + min(len(c.text) / 100, 3)
+            if c.tag in ("p", "li", "dd", "blockquote", "table") and len(c.text) >= 25:
+                points += c.text.count(",")
+            node.points += points
+            if node.parent is not None:
+                node.parent.points += points / 2
+
+
+def _holds_structure(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.tag in STRUCTURE:
+            return True
+        todo.extend(n.children)
+    return False
 
 
 def best_blocks(root: Node) -> list[Node]:
-    """The leaves of the best container and of those siblings that aren't made of links, in order of the text."""
+    """The leaves of the best container and of those siblings that aren't made of links, in order of the text.
+
+    A sibling stays if its score is a fifth of the best one's, or if it holds code, a formula or a table.
+    """
     every = [root]
     for n in every:
         every.extend(c for c in n.children if c.tag in CONTAINERS)
@@ -333,7 +441,7 @@ def best_blocks(root: Node) -> list[Node]:
 
     for n in family:
         mostly_links = n.linked >= (0.5 if n.tag in CONTAINERS else 0.8) * max(1, n.size)
-        if n is top or not mostly_links and (n.tag not in CONTAINERS or n.score() >= least):
+        if n is top or not mostly_links and (n.tag not in CONTAINERS or n.score() >= least or _holds_structure(n)):
             todo = [n]
             while todo:
                 m = todo.pop()

@@ -53,3 +53,33 @@ def test_headings_underlined_with_dashes_are_found(spark):
     cleaned = {(r["occ_id"], k) for r in m.clean_texts(df, "occ_id", "context").collect() for k in r["kinds"]}
     found = [tuple(r) for r in m.markup_kinds(df, "occ_id", "context").collect()]
     assert sorted(found) == [(1, "markdown"), (2, "markdown"), (3, "markdown")] and set(found) == cleaned
+
+
+def test_spans_of_any_length_and_depth():
+    long = "word " * 2_000 + "end"
+    assert m.clean(f"a '''{long}''' b") == (f"a {long} b", ["wiki"])
+    assert m.clean(f"a **{long}** b") == (f"a {long} b", ["markdown"])
+    assert m.clean(f"a __{long}") == (f"a {long}", ["markdown"])
+    assert m.clean("x " + "{{a|" * 9 + "z" + "}}" * 9 + " y") == ("x y", ["wiki"])
+    assert m.clean("x {{a|" + "{{b|" * 7 + "z") == ("x", ["wiki"])
+    assert m.clean("x " + "\\emph{" * 6 + "word" + "}" * 6 + " y") == ("x word y", ["latex"])
+    assert m.clean("x \\emph{a \\textbf{b") == ("x a b", ["latex"])
+    assert m.clean("**a\n\nb** c") == ("**a\n\nb** c", [])
+
+
+def test_marks_stay_linear():
+    import time
+
+    for sign in ("**a ", "''a ", "{{a|", "\\b{", "__a ", "{", "'''"):
+        began = time.perf_counter()
+        m.clean(sign * 50_000)
+        assert time.perf_counter() - began < 20, sign
+
+
+def test_containers_of_code_headings_and_items_are_kept():
+    body = "<div><p>" + "A long sentence, with commas, that says something about a thing. " * 6 + "</p></div>"
+    side = "<div><h3>Use</h3><ul><li>one</li><li>two</li></ul><pre>run x</pre></div>"
+    got = m.clean(f"<body>{body}{side}</body>")[0]
+    assert got.endswith("### Use\n\n- one\n- two\n\n```\nrun x\n```")
+    assert m.clean("<div><pre>only code</pre></div>")[0] == "```\nonly code\n```"
+    assert m.clean("<div><h2>Only a head</h2></div>")[0] == "## Only a head"
