@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kedge.llm.boosting import Boosted, platt
 from kedge.session import cut, spread
@@ -25,20 +26,20 @@ from kedge.session import cut, spread
 TRAIN_ROWS = 6000
 HOLDOUT_ROWS = 4000
 
-# Frequent function words of the languages of the corpus.
-COMMON = frozenset(
+# Words of the closed classes (articles, pronouns, prepositions, conjunctions, auxiliaries) of English, German, French and Spanish.
+CLOSED_CLASS = frozenset(
     """
-the of and to in a is was for on as with by he that it his from at are were an be had not this has have which or
-but its their they she her him been there when who after during until because although while since then more than
-into about also only all both most many some over under between near again still never ever every where what why how
-der die das und in zu den von mit ist war des dem im für nicht ein eine einer eines auch auf als an nach aus bei wie
-sich wird wurde wurden seit oder aber weil dass sie er es sind haben hat hatte noch nur über unter entfernt etwa
-le la les de des du et en un une est a à été dans par pour qui que sur avec au aux ne pas plus son sa ses ce cette
-était il elle mais ou où depuis selon fut ont avait se dit on avant après même sont
-el los las y una uno fue en con por para del se su sus al lo como más que pero desde donde está era entre hasta sobre
-sin también dice antes según siendo forman parte
+the a an this that these those he she it they we you i his her its their our of to in on at by for with from into about over under
+between after before during until since and or but because if while although than as is are was were be been has have had not
+der die das den dem des ein eine einer eines er sie es wir ich sich ihr von zu mit nach aus bei für auf an um durch zwischen über unter
+seit und oder aber weil dass wenn als wie ist sind war waren wird wurde wurden hat hatte haben nicht im am zum
+le la les un une des du de il elle nous vous ce cette son sa ses leur et ou mais que qui où dans sur par pour avec sans sous entre
+depuis avant après au aux en est sont était fut ont avait ne pas se on
+el los las una unos del al lo su sus y o pero como más con sin para por desde hasta sobre entre donde fue era son está no
 """.split()
 )
+#: Words learnt from the corpus: those in at least this share of a language's texts, so many of them at most; and the texts a language must have.
+LEARNT_SHARE, LEARNT_WORDS, LEARNT_TEXTS = 0.4, 50, 50
 BULLET = re.compile(r"(?:[-–—•·*●▪◦‣+]|\d{1,3}[.)]|\[\d+\]|\(\w{1,3}\)|[a-z][.)]) ?\S|\d{3,4} [–—-] ")
 FIELD = re.compile(r"[^:|;\t]{1,40}: ?\S.{0,48}$|[^:|;\t]{1,40}:$")
 LOG = re.compile(r"\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d(?::\d\d)?\b|(?:info|warn|err|error|debug)\b")
@@ -95,12 +96,28 @@ def _line(line: str, n: int, common: float) -> str:
     return "prose" if n >= 3 and common >= 0.1 else "bare"
 
 
-def statistics(text: str | None) -> list[float]:
+def common_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> frozenset[str]:
+    """The closed classes, and of each language the words that most of its texts hold, learnt over all texts.
+
+    A language is the first two letters of ``lang``; texts without one teach nothing, nor does a language of fewer
+    than LEARNT_TEXTS texts. At most 1 / 0.02 languages times LEARNT_WORDS words come back: those of languages
+    with a fiftieth of all texts.
+    """
+    rows = docs.select(F.lower(F.substring(lang, 1, 2)).alias("__l"), F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("\\p{L}+"), F.lit(0))).alias("__w")).filter(F.col("__l").isNotNull())
+    sizes = rows.groupBy("__l").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = sizes.filter((F.col("__n") >= LEARNT_TEXTS) & (F.col("__n") * 50 >= sizes.agg(F.sum("__n")).scalar()))
+    counts = rows.select("__l", F.explode("__w").alias("word")).groupBy("__l", "word").agg(F.count(F.lit(1)).alias("n"))
+    shares = counts.join(F.broadcast(sizes), "__l").filter(F.col("n") >= LEARNT_SHARE * F.col("__n"))
+    rank = F.row_number().over(Window.partitionBy("__l").orderBy(F.desc(F.col("n") / F.col("__n")), "word"))
+    return CLOSED_CLASS | {r["word"] for r in shares.withColumn("r", rank).filter(F.col("r") <= LEARNT_WORDS).select("word").collect()}
+
+
+def statistics(text: str | None, common_set: frozenset[str] = CLOSED_CLASS) -> list[float]:
     """The numbers of NAMES; all 0 for a null or empty text."""
     text = text or ""
     low = text.lower()
     words = WORD.findall(low)
-    known = COMMON.__contains__
+    known = common_set.__contains__
     shares = dict.fromkeys(("prose", "bullet", "item", "inline", "cell", "field", "log", "code", "hex", "bare"), 0)
     n_tokens = n_lines = longest = ended = total = 0
     for line in low.splitlines():
@@ -131,12 +148,12 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def document_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", common: frozenset[str] = CLOSED_CLASS) -> DataFrame:
     """``key`` and the numbers of NAMES for every row; repeated texts and rows each get theirs."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.array([statistics(t) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(NAMES))
+            rows = np.array([statistics(t, common) for t in b.column(1).to_pylist()], np.float64).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(rows[:, j]) for j in range(len(NAMES))]], names=[key, *NAMES])
 
     return spread(docs.select(key, text)).mapInArrow(measure, f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{n} double" for n in NAMES))
@@ -153,9 +170,10 @@ def weak_labels(x: pd.DataFrame) -> np.ndarray:
     menu = (x.separators_per_word > 0.3) & (x.distinct_ratio < 0.4) & (x.n_words > 12) & (x.digit_ratio < 0.05)
     junk = wild | dull | machine | salad | menu
     out = np.full(len(x), -1)
-    out[((x.prose_share > 0.85) & (x.common_word_ratio > 0.2) & ~wild).to_numpy()] = 0
-    out[((listed > 0.75) & (table < 0.1) & ~junk).to_numpy()] = 1
-    out[((table > 0.75) & (listed < 0.15) & ~junk).to_numpy()] = 2
+    ended = (x.prose_share > 0.75) & (x.punct_line_ratio >= 0.5) & (x.common_word_ratio > 0.15)
+    out[(((x.prose_share > 0.95) & (x.common_word_ratio > 0.25) | ended) & ~wild).to_numpy()] = 0
+    out[((listed > 0.85) & (table < 0.1) & ~junk).to_numpy()] = 1
+    out[((table > 0.85) & (listed < 0.15) & ~junk).to_numpy()] = 2
     out[(junk & (x.prose_share < 0.5)).to_numpy()] = 3
     out[(wild & (x.late_ratio > 0.01)).to_numpy()] = 3
     return out
@@ -177,15 +195,15 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", train_rows
     """``key``, the statistics, ``p_prose`` and ``kind`` for every row.
 
     ``labels`` (key, quality: 1 prose, 0 not, annotator; ``auto`` ones aren't hand-checked) may be empty or hold nulls and errors; without both
-    classes the probability stays as the trees give it. Texts without any character are junk. No
+    classes the probability stays as the trees give it. Hand-checked documents are held out: the trees don't see them. Texts without any character are junk. No
     documents give no rows.
     """
-    measured = cut(document_statistics(docs, key))
-    train = _sample(measured, key, train_rows)
-    y = weak_labels(train)
-    model = Boosted(len(KINDS)).fit(train.loc[y >= 0, NAMES].to_numpy(), y[y >= 0])
+    measured = cut(document_statistics(docs, key, common=common_words(docs) if "lang" in docs.columns else CLOSED_CLASS))
     by_hand = F.col("quality").isin(0, 1) & ~F.coalesce(F.col("annotator") == "auto", F.lit(False))
     checked = labels.filter(by_hand).groupBy(key).agg(F.max("quality").alias("quality"))
+    train = _sample(measured.join(checked, key, "left_anti"), key, train_rows)
+    y = weak_labels(train)
+    model = Boosted(len(KINDS)).fit(train.loc[y >= 0, NAMES].to_numpy(), y[y >= 0])
     hold = _sample(measured.join(checked, key), key, holdout_rows)
     p = model.predict(hold[NAMES].to_numpy())[:, 0] if len(hold) else np.empty(0)
     a, b = platt(p, hold["quality"].to_numpy().astype(float))
