@@ -15,17 +15,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kedge.session import spread
+from kedge.session import cut, spread
 
 #: Words in a row that make a case.
 MIN_WORDS = 12
 #: Share of an item's words under tiles from which it counts as leaked as a whole.
 COVERAGE = 0.5
 #: Characters of items that one pass over the corpus carries; more items mean more passes.
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 
 WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -90,7 +91,14 @@ def tiles(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, k: in
     new = np.concatenate(([True], (np.diff(i) != 1) | (np.diff(i - j) != 0)))
     start = np.flatnonzero(new)
     length = np.diff(np.concatenate((start, [len(i)]))) + k - 1
-    heap = [(-n, b, a) for n, a, b in zip(length.tolist(), i[start].tolist(), j[start].tolist(), strict=True) if np.array_equal(doc[a : a + n], item[b : b + n])]
+    heap = []
+    for n, a, b in zip(length.tolist(), i[start].tolist(), j[start].tolist(), strict=True):
+        # equal hashes may belong to unequal words: what lies between two such words counts by itself
+        same = doc[a : a + n] == item[b : b + n]
+        edge = np.diff(np.concatenate(([0], same, [0])).astype(np.int8))
+        for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+            if e - s >= k:
+                heap.append((s - e, b + s, a + s))
     heapq.heapify(heap)
     in_doc, in_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out = []
@@ -112,9 +120,9 @@ def tiles(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, k: in
 SCHEMA = "item_id long, n_tiles int, longest int, tiled_words int, item_words int"
 
 
-def _matcher(rows: list[tuple[int, str]], k: int, key: str):
+def _matcher(rows: Broadcast, k: int, key: str):
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows, k)
+        items = Items(rows.value, k)
         code = items.codes.get
         for b in batches:
             out: list[tuple] = []
@@ -138,8 +146,9 @@ def _matcher(rows: list[tuple[int, str]], k: int, key: str):
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, item_id, n_tiles, longest, tiled_words, item_words, coverage): documents with items of which they hold at least ``min_words`` words in a row.
 
-    The items are a stated query set against all rows: they travel with the tasks, ``block_chars`` of
-    them per pass, so their number isn't bounded by memory. Texts that are null or have fewer words
+    The items are a stated query set against all rows: they are broadcast in blocks of about ``block_chars``
+    characters. With more than one block, each pass is written before the next block is read, so driver
+    and tasks hold one block at a time. Texts that are null or have fewer words
     match nothing; repeated documents and items come out each; no items give no rows.
     """
     texts = items.filter(F.col("text").isNotNull()).select("item_id", "text")
@@ -148,5 +157,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", min_words: int
     parts = []
     for b in range(blocks):
         rows = [tuple(r) for r in texts.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()]
-        parts.append(spread(docs.select(key, "text")).mapInArrow(_matcher(rows, min_words, key), f"{key} {dict(docs.dtypes)[key]}, {SCHEMA}"))
+        block = docs.sparkSession.sparkContext.broadcast(rows)
+        met = spread(docs.select(key, "text")).mapInArrow(_matcher(block, min_words, key), f"{key} {dict(docs.dtypes)[key]}, {SCHEMA}")
+        if blocks > 1:
+            met = cut(met)
+            block.unpersist()
+        parts.append(met)
     return reduce(DataFrame.unionByName, parts).withColumn("coverage", F.col("tiled_words") / F.col("item_words"))

@@ -21,33 +21,33 @@ from pyspark.sql.window import Window
 
 from kedge.session import cut, drop, partitions, spread
 
-#: Vocabulary files of public tokenizers; a parameter of the operator.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
 #: A bin at least this full is emitted at once.
 NEARLY_FULL = 0.99
-#: Open bins per task of a round.
+#: Items, or open bins of the round before, per task of a round.
 BINS_PER_TASK = 100_000
+#: A round that leaves more than this share of the open bins, where the tasks can't become fewer, is the last: bins
+#: more than half full merge with nothing. They stay as they are, nothing is lost.
+NO_GAIN = 0.98
 
 
-def token_counter(path: str = TOKENIZER):
-    """A function from text to its number of tokens, for a byte-level vocabulary of ranks."""
-    import public_tokenizers
+def token_counter(path: str, pattern: str):
+    """A function from text to its number of tokens, for a byte-level vocabulary file of ranks and its splitting pattern."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(coder.encode_ordinary(text))
 
 
-def token_sizes(docs: DataFrame, key: str, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, size) of every row; a null text has no tokens."""
+def token_sizes(docs: DataFrame, key: str, text: str, tokenizer: str, pattern: str) -> DataFrame:
+    """(key, size) of every row; a null text has no tokens. ``tokenizer`` names a file that every executor can read."""
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = None
         for b in batches:
-            count = count or token_counter(tokenizer)
+            count = count or token_counter(tokenizer, pattern)
             n = [0 if t is None else count(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=[key, "size"])
 
@@ -99,7 +99,7 @@ def _packed(level: int, capacity: int):
 
 def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY_FULL, bins_per_task: int = BINS_PER_TASK) -> DataFrame:
     """(item, container) for ``items`` (item BIGINT unique, room BIGINT from 1 to capacity)."""
-    n_parts = partitions(items)
+    n_parts = max(partitions(items), -(-items.count() // bins_per_task))
     level, links = 0, []
     todo, before = items.select("item", "room"), None
     while True:
@@ -112,7 +112,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
         n = rest.count()
         if n == 0:
             break
-        if n_parts == 1 or (before is not None and n > 0.98 * before and n_parts <= -(-n // bins_per_task)):
+        if n_parts == 1 or (before is not None and n > NO_GAIN * before and n_parts <= -(-n // bins_per_task)):
             break
         todo, before = rest.select(F.col("bin").alias("item"), "room"), n
         level, n_parts = level + 1, max(1, min(n_parts // 2, -(-n // bins_per_task)))
@@ -126,7 +126,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARLY
     return got
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, pattern: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(key, piece, container, position, start, size): where each document's tokens lie.
 
     A document of more than ``capacity`` tokens is cut into full pieces and a rest, any other is one
@@ -134,7 +134,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cap
     A null or empty text has size 0; it is placed too and takes the room of one token, so a container
     never holds more than ``capacity`` pieces. Every row is an item of its own, repeated texts too.
     """
-    sizes = cut(token_sizes(docs, key, text, tokenizer))
+    sizes = cut(token_sizes(docs, key, text, tokenizer, pattern))
     n_pieces = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1))
     cutting = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), n_pieces - 1)))
     pieces = cut(cutting.select(key, "piece", F.least(F.col("size") - F.col("piece") * capacity, F.lit(capacity)).alias("size"), F.monotonically_increasing_id().alias("item")))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kedge.llm import leakage, lookalikes, markup, packing, quality, term_frequency
 from kedge.session import table
 
+#: The vocabulary file that the p7 queries take where KEDGE_TOKENIZER names no other.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     occs = table(spark, d, "occs").select("id", "uri", "surface_form")
@@ -38,13 +43,19 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return got.select("occ_id", "clean", F.array_join("kinds", ",").alias("kinds"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, d, "documents"), os.environ.get("KEDGE_TOKENIZER", TOKENIZER), public_tokenizers.PATTERN)
+
+
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents"))
+    return _packed(spark, d)
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """Per container: pieces and tokens."""
-    return packing.pack_documents(table(spark, d, "documents")).groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens"))
+    return _packed(spark, d).groupBy("container").agg(F.count(F.lit(1)).alias("pieces"), F.sum("size").alias("tokens"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

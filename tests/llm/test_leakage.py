@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from kedge.llm import leakage as k
 
 
@@ -52,3 +54,12 @@ def test_repetition_ties_and_empty_tables(spark):
     got = k.leaks(docs, items).collect()
     assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(1, 1, 1.0), (1, 2, 1.0)]
     assert k.leaks(docs, items.limit(0)).count() == 0 and k.leaks(docs.limit(0), items).count() == 0
+
+
+def test_an_unequal_word_splits_a_run_of_seeds():
+    """As if the hashes of one window had met by chance: the equal stretches around it stay."""
+    doc = np.arange(1, 31, dtype=np.uint64)
+    item = doc.copy()
+    item[14] = 99
+    at = np.arange(28)
+    assert sorted(k.tiles(doc, item, at, at, 3)) == [(0, 0, 14), (15, 15, 15)]

@@ -3,6 +3,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kedge.llm import packing as p
+from kedge.llm.queries import TOKENIZER
+
+PATTERN = r"\w+|[^\w\s]+|\s+"
 
 
 @settings(max_examples=60, deadline=None)
@@ -24,8 +27,8 @@ def test_best_fit_is_best_fit(sizes):
 def test_no_document_is_lost_split_or_overfull(spark):
     texts = ["word " * n for n in (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 400)] * 6 + ["", None, "", "a b"]
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, size int, item string")
-    rows = p.pack_documents(df, capacity=100).collect()
-    count = p.token_counter()
+    rows = p.pack_documents(df, TOKENIZER, PATTERN, capacity=100).collect()
+    count = p.token_counter(TOKENIZER, PATTERN)
     sizes = {i: 0 if t is None else count(t) for i, t in enumerate(texts)}
     by_doc, by_bin = {}, {}
     for r in rows:
@@ -55,4 +58,4 @@ def test_items_of_more_than_half_stay_apart_and_end(spark):
 
 
 def test_empty(spark):
-    assert p.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert p.pack_documents(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER, PATTERN).count() == 0
