@@ -216,3 +216,9 @@ def is_acronym_of(short: Column, title: Column) -> Column:
 
     rest = F.aggregate(letters, initials, eat)
     return (F.size(letters) > 1) & rest.isNotNull()
+
+
+def title_of_url(url: Column) -> Column:
+    """A page address as title: what follows the last '/wiki/', without anchor and slashes at its end, decoded."""
+    path = F.regexp_replace(F.regexp_replace(url, "^.*/wiki/", ""), "#.*$", "")
+    return decode(F.regexp_replace(path, "/+$", ""))

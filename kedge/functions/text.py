@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -114,6 +118,37 @@ def context_window(tokens: Column, at: Column, width: Column | int, max_words: i
     return F.when(F.size(got) >= min_words, got)
 
 
+#: A sentence ends at these signs before a blank; texts of more sentences than this are scored in windows of at least so many words.
+SENTENCE_END = "[.!?]+\\s+"
+LONG_TEXT, WINDOW_WORDS = 200, 200
+
+
+def context_windows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, window, start, text): a text of more than LONG_TEXT sentences in windows, each of whole sentences until they
+    hold WINDOW_WORDS words; any other text is one window. Null texts have none."""
+    ends = regex.compile(SENTENCE_END)
+    word = regex.compile("[\\p{L}\\p{N}]+")
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                window = start = at = n = 0
+                for end in [*(m.end() for m in ends.finditer(t)), len(t)]:
+                    n += sum(1 for _ in word.finditer(t, at, end))
+                    at = end
+                    if (n >= WINDOW_WORDS or end == len(t)) and end > start:
+                        for col, v in zip(out, (k, window, start, t[start:end]), strict=True):
+                            col.append(v)
+                        window, start, n = window + 1, end, 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, pa.schema([b.schema.field(0), ("w", pa.int32()), ("s", pa.int32()), ("t", pa.string())]), strict=True)], names=[key, "window", "start", "text"])
+
+    rows = df.filter(F.col(text).isNotNull()).select(key, F.col(text).alias("text"))
+    long = F.size(F.regexp_extract_all("text", F.lit(SENTENCE_END), F.lit(0))) >= LONG_TEXT
+    cut = rows.filter(long).mapInArrow(cut_up, f"{key} {dict(df.dtypes)[key]}, window int, start int, text string")
+    return cut.unionByName(rows.filter(~long).select(key, F.lit(0).alias("window"), F.lit(0).alias("start"), "text"))
+
+
 def mentions_in_brackets(text: Column) -> tuple[Column, Column]:
     """Plain text and the array of (name, offset) of [[name]] markup."""
     names = F.regexp_extract_all(text, F.lit("\\[\\[([^\\[\\]]*)\\]\\]"), F.lit(1))
@@ -138,6 +173,20 @@ def erase_markup(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "\\[\\[[^\\[\\]|]*\\|([^\\[\\]|]*)(?:\\|[^\\[\\]]*)?\\]\\]", "$1"), "\\[\\[([^\\[\\]]*)\\]\\]", "$1")
 
 
+def without_templates(text: Column) -> Column:
+    """{{…}} out, innermost first, as many times as they are deep in one another."""
+    tokens = F.regexp_extract_all(text, F.lit("\\{\\{|\\}\\}"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, t: Column) -> Column:
+        now = F.greatest(acc["now"] + F.when(t == "{{", 1).otherwise(-1), F.lit(0))
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    depth = F.aggregate(tokens, start, step)["most"]
+    rounds = F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(rounds, text, lambda acc, _: F.regexp_replace(acc, "\\{\\{[^{}]*\\}\\}", ""))
+
+
 def strip_wiki(text: Column) -> Column:
     """Wiki markup out of a page: comments, references, templates, tables, files, headings, quotes, links, bullets, blank lines."""
     out = text
@@ -145,8 +194,7 @@ def strip_wiki(text: Column) -> Column:
         ("(?s)<!--.*?-->", ""),
         ("(?s)<ref[^>/]*>.*?</ref>|<ref[^>]*/>", ""),
         ("(?s)\\{\\|.*?\\|\\}", ""),
-        ("\\{\\{[^{}]*\\}\\}", ""),
-        ("\\{\\{[^{}]*\\}\\}", ""),
+        (None, ""),
         ("(?i)\\[\\[(?:file|image|category):[^\\[\\]]*\\]\\]", ""),
         ("__[A-Z]+__", ""),
         ("(?m)^=+ *(.*?) *=+ *$", "$1"),
@@ -156,7 +204,7 @@ def strip_wiki(text: Column) -> Column:
         ("\\[(?:https?)://[^ \\]]*(?: ([^\\]]*))?\\]", "$1"),
         ("\n{2,}", "\n"),
     ):
-        out = F.regexp_replace(out, pattern, by)
+        out = without_templates(out) if pattern is None else F.regexp_replace(out, pattern, by)
     return F.trim(erase_markup(out))
 
 

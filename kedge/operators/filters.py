@@ -152,3 +152,20 @@ def pipeline(conf: float = 0.5, more_than: int = 0, wanted: Sequence[str] = (),
 def best_per(df: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), "uri"))
     return df.withColumn("__r", rank).filter(F.col("__r") == 1).drop("__r")
+
+
+def not_matching(column: str, pattern: str) -> Filter:
+    """Without the rows whose column a blacklist pattern hits."""
+    return lambda df: df.filter(~F.col(column).rlike(pattern))
+
+
+def all_in_one(conf: float, least_support: int, similarity: Sequence[float] = (), key: str = "doc_id") -> Filter:
+    """The older single filter: coreference first, support of at least the bound, a confidence between 0 and 1 or an error."""
+    if not 0 <= conf <= 1:
+        raise ValueError("confidence must be between 0 and 1")
+
+    def apply(df: DataFrame) -> DataFrame:
+        kept = coreference(df, key).filter(F.col("support") >= least_support)
+        return kept.transform(confidence(conf, similarity)).transform(second_rank(conf))
+
+    return apply

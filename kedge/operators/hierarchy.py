@@ -83,16 +83,19 @@ def resolve(nodes: DataFrame, edges: DataFrame, paths: bool = False) -> DataFram
     none = F.lit(None).cast("string")
     hidden = F.array().cast("array<string>")
     first = cut(nodes.filter(F.col("node").isNotNull()).select("node").distinct().join(edges, "node", "left"))
-    heavy = first.sparkSession.createDataFrame(heavy_keys(first.filter(F.col("parent").isNotNull()), ["parent"]).collect(), "parent string, __salts int")
-    hot = not heavy.isEmpty()
-
-    def to_parent(rows: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    roots = first.filter(F.col("parent").isNull()).select("node")
+    linked = first.filter(F.col("parent").isNotNull())
+    heavy = cut(heavy_keys(linked, ["parent"]))
+    linked = salted_join(linked, roots.select(F.col("node").alias("__r")), "parent", "__r", "left", heavy=heavy, spread=["node"])
+    # of the popular parents only those that aren't roots are asked again
+    inner_heavy = cut(heavy.join(first.filter(F.col("parent").isNotNull()).select(F.col("node").alias("parent")), "parent", "left_semi"))
+    hot = not inner_heavy.isEmpty()
+
+    def to_parent(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
         if hot:
-            return salted_join(rows, right, "parent", key, how, heavy=heavy, spread=["node"])
-        return rows.join(right, F.col("parent") == F.col(key), how)
+            return salted_join(rows, right, "parent", key, heavy=inner_heavy, spread=["node"])
+        return rows.join(right, F.col("parent") == F.col(key))
 
-    roots = first.filter(F.col("parent").isNull()).select("node")
-    linked = to_parent(first.filter(F.col("parent").isNotNull()), roots.select(F.col("node").alias("__r")), "__r", "left")
     live = linked.select("node", "parent", F.lit(1).cast("long").alias("steps"), none.alias("least"), hidden.alias("via"), F.col("__r").isNotNull().alias("top"))
 
     def cores(rows: DataFrame) -> DataFrame:

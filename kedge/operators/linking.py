@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kedge.functions import scalars as S
 from kedge.functions import text as T
+from kedge.session import cut
 
 # Smoothing and caps of the scorer.
 LAMBDA = 0.2
@@ -63,12 +66,18 @@ def ambiguity(names: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def fuzzy_names(names: DataFrame, known: DataFrame, least: float = 0.5) -> DataFrame:
-    """(name, form, similarity): names at least half alike among those with the same first three letters and nearly the same length: blocked, no cross join."""
-    block = lambda c: F.substring(F.lower(c), 1, 3).alias("b")
-    forms = known.select(F.col("name").alias("form"), block("name"))
-    near = names.select("name", block("name")).join(forms, "b").filter(F.abs(F.char_length("name") - F.char_length("form")) <= 3)
-    alike = 1 - F.levenshtein(F.lower("name"), F.lower("form")) / F.greatest(F.char_length("name"), F.char_length("form"))
-    return near.select("name", "form", alike.alias("similarity")).filter(F.col("similarity") >= least)
+    """(name, form, similarity): distinct ``names`` and ``known`` names at least half alike by edits, case apart.
+
+    The pairs tried share two letter pairs (the ends of the name count as letters) and differ in length by no more
+    than the similarity allows; a typo may be anywhere, the first letters included. Two names that are half alike
+    nearly always share two pairs: the recall against all pairs is measured in the tests. No cross join.
+    """
+    edge = lambda c: F.concat(F.lit("^"), F.lower(c), F.lit("$"))
+    grams = lambda df: df.select("name", F.explode(F.array_distinct(T.char_ngrams(edge("name"), 2))).alias("g"))
+    a, b = F.char_length("name"), F.char_length("form")
+    met = grams(names).join(grams(known).withColumnRenamed("name", "form"), "g").filter(F.abs(a - b) <= (1 - least) * F.greatest(a, b))
+    near = met.groupBy("name", "form").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= 2)
+    return near.select("name", "form", (1 - F.levenshtein(F.lower("name"), F.lower("form")) / F.greatest(a, b)).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def trigram_names(names: DataFrame, known: DataFrame, least: int = 6) -> DataFrame:
@@ -78,42 +87,55 @@ def trigram_names(names: DataFrame, known: DataFrame, least: int = 6) -> DataFra
     return met.groupBy("name", "form").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
 
+def gains_of(contexts: DataFrame, tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(uri, token, g): how much better a resource explains a word than no resource does; one row per row of ``contexts``."""
+    prior = token_prior(F.col("tn"), F.col("n_tokens"), F.col("vocabulary"))
+    floor = F.log(F.lit(1 - LAMBDA)) + prior
+    total = contexts.groupBy("uri").agg(F.sum("n").alias("total"))
+    known = contexts.join(total, "uri").join(tokens.select("token", F.col("n").alias("tn")), "token").join(F.broadcast(sizes.select("n_tokens", "vocabulary")))
+    return known.select("uri", "token", (smoothed(prior, F.col("n"), F.col("total")) - floor).alias("g"))
+
+
 def context_gain(spotted: DataFrame, texts: DataFrame, contexts: DataFrame, tokens: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     """(key, uri, gain): how much better the resource explains the distinct words of the text than no resource does.
 
     Only words that text and resource share differ from the background. What a word gains for a
     resource doesn't depend on the text, so it is worked out once per row of the context table; the
     words of a text then meet the gains of its candidates by (resource, word). Joining candidates to
-    whole contexts first would multiply every mention by its resource's vocabulary.
+    whole contexts first would multiply every mention by its resource's vocabulary. A text with several
+    mentions of one resource asks once.
     """
-    prior = token_prior(F.col("tn"), F.col("n_tokens"), F.col("vocabulary"))
-    floor = F.log(F.lit(1 - LAMBDA)) + prior
-    total = contexts.groupBy("uri").agg(F.sum("n").alias("total"))
-    known = contexts.join(total, "uri").join(tokens.select("token", F.col("n").alias("tn")), "token").join(F.broadcast(sizes.select("n_tokens", "vocabulary")))
-    gains = known.select("uri", "token", (smoothed(prior, F.col("n"), F.col("total")) - floor).alias("g"))
     query = texts.select(key, F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
     wanted = spotted.select(key, "uri").distinct()
+    gains = gains_of(contexts, tokens, sizes)
     return wanted.join(query, key).join(gains, ["uri", "token"]).groupBy(key, "uri").agg(F.sum("g").alias("gain"))
 
 
-def linked(candidates: DataFrame, gain: DataFrame, sizes: DataFrame, keys: list[str], key: str, true_likelihood: bool = False) -> DataFrame:
+def linked(candidates: DataFrame, gain: DataFrame | None, sizes: DataFrame, keys: list[str], key: str, true_likelihood: bool = False) -> DataFrame:
     """Candidates with score, final score, share of the next one and rank; those no better than no resource are gone.
 
     score = ln P(resource | name) + context gain + ln P(resource); the score of no resource is
-    ln(1 / annotations). ``true_likelihood`` takes P(name | resource) instead. Ties rank by uri.
+    ln(1 / annotations). ``true_likelihood`` takes P(name | resource) instead. ``context_share`` is the softmax of the
+    context alone, with no resource at 0. Without a gain (None) the context says nothing and no resource is
+    impossible, so every candidate stays. Ties rank by uri.
     """
+    no_context = gain is None
+    gain = candidates.select(key, "uri").distinct().withColumn("gain", F.lit(0.0)) if no_context else gain
     like = F.col("n") / F.col("support") if true_likelihood else F.col("prior")
     rows = candidates.join(gain, [key, "uri"], "left").join(F.broadcast(sizes.select(F.col("support").alias("all_support"), F.col("annotated").alias("all_annotated"))))
     score = F.log(like) + F.coalesce("gain", F.lit(0.0)) + F.log(F.col("support") / F.col("all_support"))
-    nil = -F.log("all_annotated")
+    nil = F.lit(float("-inf")) if no_context else -F.log("all_annotated")
     kept = rows.withColumn("context_gain", F.coalesce("gain", F.lit(0.0))).withColumn("score", score).withColumn("nil", nil).filter(~F.isnan("score") & (F.col("score") > F.col("nil")))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "uri")
     every = Window.partitionBy(*keys)
     top = F.greatest(F.max("score").over(every), F.col("nil"))
     mass = F.sum(F.exp(F.col("score") - top)).over(every) + F.exp(F.col("nil") - top)
+    most = F.greatest(F.max("context_gain").over(every), F.lit(0.0))
+    context_mass = F.sum(F.exp(F.col("context_gain") - most)).over(every) + F.exp(-most)
     return kept.select(
         *keys, "name", "uri", "support", "prior", "context_gain", "score",
         (F.exp(F.col("score") - top) / mass).alias("final_score"),
+        (F.exp(F.col("context_gain") - most) / context_mass).alias("context_share"),
         F.coalesce(F.exp(F.lead("score").over(order) - F.col("score")), F.lit(0.0)).alias("second_rank"),
         F.row_number().over(order).alias("rank"),
     )
@@ -141,24 +163,72 @@ def by_prior(candidates: DataFrame, names: DataFrame, k: int, order: str = "prio
     return names.join(candidates, "name").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def inverse_candidate_frequency(names: DataFrame, candidates: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(name, token, holders, icf): ln(candidates / candidates whose context holds the token) + 1."""
-    cand = names.join(candidates.select("name", "uri"), "name")
-    most = cand.groupBy("name").agg(F.count(F.lit(1)).alias("n_cand"))
-    held = cand.join(contexts, "uri").groupBy("name", "token").agg(F.count(F.lit(1)).alias("holders"))
-    return held.join(most, "name").select("name", "token", "holders", (F.log(F.col("n_cand") / F.col("holders")) + 1).alias("icf"))
+def inverse_candidate_frequency(asked: DataFrame, candidates: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(name, token, uri, n, holders, icf) for each asked (name, token) and candidate of the name whose context holds the
+    token: ln(candidates / candidates that hold it) + 1.
+
+    Only words that are asked for are looked up: all words of all candidates of all names would multiply every
+    name by the vocabulary of its resources. The holders of a name and word are as few as the name's candidates.
+    """
+    cand = candidates.select("name", "uri", F.count(F.lit(1)).over(Window.partitionBy("name")).alias("__cand"))
+    held = asked.select("name", "token").distinct().join(cand, "name").join(contexts.select("uri", "token", "n"), ["uri", "token"])
+    holders = F.count(F.lit(1)).over(Window.partitionBy("name", "token"))
+    return held.withColumn("holders", holders).select("name", "token", "uri", "n", "holders", (F.log(F.col("__cand") / F.col("holders")) + 1).alias("icf"))
+
+
+def words_of(mentions: DataFrame, key: str) -> DataFrame:
+    """(key, name, token): the distinct words of each mention's text."""
+    return mentions.select(key, "name", F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
+
 
+def icf_scores(mentions: DataFrame, candidates: DataFrame, contexts: DataFrame, key: str, belief: DataFrame | None = None) -> DataFrame:
+    """(key, name, uri, score): sum of tf * icf squared over the words that mention and candidate share; 0 without any.
 
-def icf_scores(mentions: DataFrame, candidates: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
-    """(key, name, uri, score): sum of tf * icf squared over the words that mention and candidate share; 0 without any."""
+    ``belief`` (name, belief) multiplies each icf: how convinced one may be that the name is a mention at all.
+    """
+    words = words_of(mentions, key)
+    icf = inverse_candidate_frequency(words, candidates, contexts)
+    if belief is not None:
+        icf = icf.join(belief, "name").withColumn("icf", F.col("icf") * F.col("belief"))
+    weights = icf.select("name", "token", "uri", (F.sqrt("n") * F.col("icf") * F.col("icf")).alias("w"))
+    score = words.join(weights, ["name", "token"]).groupBy(key, "name", "uri").agg(F.sum("w").alias("score"))
     cand = mentions.select(key, "name").join(candidates.select("name", "uri"), "name")
-    icf = inverse_candidate_frequency(mentions.select("name").distinct(), candidates, contexts)
-    words = mentions.select(key, F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
-    hit = cand.join(words, key).join(contexts, ["uri", "token"]).join(icf.select("name", "token", "icf"), ["name", "token"])
-    score = hit.groupBy(key, "name", "uri").agg(F.sum(F.sqrt("n") * F.col("icf") * F.col("icf")).alias("score"))
     return cand.join(score, [key, "name", "uri"], "left").select(key, "name", "uri", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def spot_belief(candidates: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """(name, belief): candidates of the name over the texts that hold all its words, to four places; a name in no text has none."""
+    names = candidates.groupBy("name").agg(F.count(F.lit(1)).alias("c")).withColumn("w", F.array_distinct(T.lower_words(F.col("name")))).withColumn("k", F.size("w"))
+    held = cut(docs.select(F.monotonically_increasing_id().alias("__d"), F.array_distinct(T.lower_words(F.col(text))).alias("__w")))
+    return with_all_terms(names, held).groupBy("name").agg(F.first("c").alias("c"), F.count(F.lit(1)).alias("d")).select("name", F.round(F.col("c") / F.col("d"), 4).alias("belief"))
+
+
+def with_all_terms(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(queries…, __d): every query (w: its distinct terms, k: how many) with every text (__d, __w) that holds them all.
+
+    The texts are looked up by the query's rarest term only, then checked for the others in the same row: frequent
+    terms never bring their long lists of texts together.
+    """
+    df = docs.select(F.explode("__w").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("__df"))
+    asked = queries.filter(F.col("k") > 0)
+    terms = asked.select("name", F.explode("w").alias("token")).join(df, "token", "left")
+    rarest = terms.groupBy("name").agg(F.min_by("token", F.struct(F.coalesce("__df", F.lit(0)), F.col("token"))).alias("token"), F.min(F.coalesce("__df", F.lit(0))).alias("__least"))
+    lists = docs.select("__d", F.explode("__w").alias("token"))
+    met = rarest.filter(F.col("__least") > 0).join(lists, "token").select("name", "__d").join(asked, "name").join(docs, "__d")
+    return met.filter(F.size(F.array_intersect("w", "__w")) == F.col("k")).drop("__w")
+
+
+def custom_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """Candidates with given scores by resource; those without one have 0."""
+    return candidates.join(scores.select("uri", "score"), "uri", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def random_scores(candidates: DataFrame, seed: int = 7, mean: float = 100.0, deviation: float = 5.0) -> DataFrame:
+    """Candidates with random scores of a normal distribution, drawn from a hash of name and resource, so a row keeps its score when its task runs again."""
+    at = lambda k: (F.pmod(F.xxhash64("name", "uri", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_004.0
+    return candidates.withColumn("score", mean + deviation * F.sqrt(-2 * F.log(at(1))) * F.cos(2 * math.pi * at(2)))
+
+
 def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, query_terms: int | None = None) -> DataFrame:
     """(key, uri, score, rank): the resources whose contexts are most like the text, by cosine of tf * idf weights.
 
@@ -179,3 +249,22 @@ def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, qu
     got = dots.join(norm, "uri").withColumn("score", F.col("dot") / F.col("norm"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "uri"))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "uri", "score", "rank")
+
+
+def overlaps(spans: DataFrame, group: str, key: str) -> DataFrame:
+    """Spans (group, key, start, length) with ``meets`` (begins before one that began earlier has ended) and ``inside`` (ends within it).
+
+    One running maximum of the ends in order of start, longer first: as much as a join of intervals tells about each
+    span, without their pairs.
+    """
+    stop = F.col("start") + F.col("length")
+    w = Window.partitionBy(group).orderBy("start", F.desc(stop), key).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(stop).over(w)
+    return spans.withColumn("meets", F.coalesce(reach > F.col("start"), F.lit(False))).withColumn("inside", F.coalesce(reach >= stop, F.lit(False)))
+
+
+def reranked(links: DataFrame, keys: list[str], weight: Column) -> DataFrame:
+    """Candidates ranked anew by a mixture of their features; ``next`` is the share of the next one, -1 for the last. Ties by uri."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("mixed"), "uri")
+    got = links.withColumn("mixed", weight)
+    return got.withColumn("rank", F.row_number().over(w)).withColumn("next", F.coalesce(F.try_divide(F.lead("mixed").over(w), F.col("mixed")), F.lit(-1.0)))

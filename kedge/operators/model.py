@@ -6,9 +6,10 @@ name, so that builds repeat. Nothing here depends on the number of partitions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -155,7 +156,31 @@ class Model:
     tokens: DataFrame
 
 
-def build(occs: DataFrame, slices: DataFrame, names: DataFrame) -> Model:
-    """All count tables of a model as lazy plans."""
-    resources, pairs, contexts = resource_counts(slices), pair_counts(occs), context_counts(occs)
-    return Model(surface_form_counts(names), lowercase_counts(names), resources, pairs, candidates(pairs, resources), contexts, token_types(contexts))
+def build(occs: DataFrame, slices: DataFrame, names: DataFrame, write: Callable[[DataFrame], DataFrame] = lambda df: df) -> Model:
+    """All count tables of a model; ``write`` (``session.cut``) writes each once, so that what links with them reads
+    tables and counts no context again. Without it they are lazy plans, right where a query needs one of them."""
+    resources, pairs, contexts = write(resource_counts(slices)), write(pair_counts(occs)), write(context_counts(occs))
+    return Model(surface_form_counts(names), lowercase_counts(names), resources, pairs, write(candidates(pairs, resources)), contexts, write(token_types(contexts)))
+
+
+def save(built: Model, folder: str) -> None:
+    """Every table of a model as Parquet, those met by uri or name in its order, so that readers skip files."""
+    order = {"forms": "name", "lower": "lower", "resources": "uri", "pairs": "name", "candidates": "name", "contexts": "uri", "tokens": "token"}
+    for f in fields(built):
+        getattr(built, f.name).repartitionByRange(order[f.name]).sortWithinPartitions(order[f.name]).write.mode("overwrite").parquet(f"{folder}/{f.name}")
+
+
+def load(spark: SparkSession, folder: str) -> Model:
+    """The model that ``save`` wrote; a missing table is an error."""
+    return Model(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Model)})
+
+
+def resolved(occs: DataFrame, closure: DataFrame) -> DataFrame:
+    """Occurrences with redirecting uris by their final titles, so that the counts of both meet.
+
+    ``closure`` is what ``hierarchy.resolve`` gives; a uri on a circle or running into one stays, as it has no final
+    title, and so does an unknown one. Null uris stay null.
+    """
+    to = closure.filter((F.col("kind") == "tree") & (F.col("depth") > 0)).select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    met = salted_join(occs, to, "uri", "__n", "left")
+    return met.withColumn("uri", F.coalesce("__r", "uri")).drop("__n", "__r")

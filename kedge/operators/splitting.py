@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kedge.operators.skew import numbered, salted_join
+
 
 def split_by_pair(occs: DataFrame, ratio: float) -> DataFrame:
     """(occ_id, part): of each form and resource the first round(n * ratio) to test; forms of one resource train."""
@@ -18,7 +20,8 @@ def split_by_pair(occs: DataFrame, ratio: float) -> DataFrame:
 
 
 def split_groups(rows: DataFrame, group: str, order: str, least: int, every: int) -> DataFrame:
-    """Groups of at least ``least`` rows, every ``every``-th row of each to test."""
-    w = Window.partitionBy(group)
-    got = rows.filter(F.col(group).isNotNull()).select(order, group).withColumn("k", F.row_number().over(w.orderBy(order))).withColumn("n", F.count(F.lit(1)).over(w)).filter(F.col("n") >= least)
+    """Groups of at least ``least`` rows, every ``every``-th row of each to test, in order of a numeric, unique column; no group is sorted as a whole."""
+    kept = rows.filter(F.col(group).isNotNull()).select(order, group)
+    sizes = kept.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    got = numbered(salted_join(kept, sizes, group, "__g", spread=[order]), group, order).withColumnRenamed("position", "k")
     return got.select(order, group, "k", F.when(F.col("k") % every == 0, "test").otherwise("train").alias("part"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kedge.functions import text as T
+from kedge.operators.linking import normalised_forms
 from kedge.operators.model import MIN_ANNOTATION_PROBABILITY, annotation_probability
 from kedge.session import spread
 
@@ -87,6 +88,19 @@ def spot_score(name: Column, p: Column, weights: Sequence[float] | None = WEIGHT
     return reduce(lambda a, b: a + b, [w * f for w, f in zip(weights, spot_features(name, p), strict=True)])
 
 
+def known_probability(spots: DataFrame, forms: DataFrame, lower: DataFrame, name: str = "name") -> DataFrame:
+    """Spots with ``p``: the annotation probability of the name itself, else the score of its likeliest normalised form, else 0.
+
+    Each distinct name is looked up once, those without a form of their own by their lower case.
+    """
+    p = annotation_probability(F.col("annotated"), F.col("total"))
+    exact = forms.select(F.col("name").alias("__n"), p.alias("__p"))
+    names = spots.select(F.col(name).alias("name")).distinct()
+    missing = names.join(exact.select(F.col("__n").alias("name")), "name", "left_anti")
+    near = normalised_forms(missing, forms, lower, 1).select(F.col("name").alias("__n"), F.col("score").alias("__p"))
+    return spots.join(exact.unionByName(near), F.col(name) == F.col("__n"), "left").withColumn("p", F.coalesce("__p", F.lit(0.0))).drop("__n", "__p")
+
+
 def accepted(spots: DataFrame, confidence: float = 0.5, weights: Sequence[float] | None = WEIGHTS) -> DataFrame:
     """Spots with a score of at least max(0.1, confidence), or 0.25 without weights."""
     least = LEAST_WITHOUT_WEIGHTS if weights is None else max(LEAST_SCORE, confidence)

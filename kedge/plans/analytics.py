@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from kedge import api
 from kedge.operators import evaluation, linking, model, topics
 from kedge.plans.kb import CAND, PAIRS, kb_model
-from kedge.plans.linking import mentions, names_of
-from kedge.session import table
+from kedge.plans.kb import SQL as _KB_SQL
+from kedge.plans.linking import FOLD, _SPOT, mentions, names_of
+from kedge.plans.linking import SQL as _LINK_SQL
+from kedge.plans.scalar import NT
+from kedge.session import cut, table
 from kedge.sources import readers, sinks
 from kedge.streaming import feeds
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+SQL_OF = {**_KB_SQL, **_LINK_SQL}
 
 
 def query(sql: str | None = None):
@@ -29,53 +33,39 @@ def query(sql: str | None = None):
 
 def corpus_model(spark: SparkSession, d: str) -> model.Model:
     """The model whose names are those of the corpus."""
-    m = kb_model(spark, d)
+    m = kb_model(spark, d, cut)
     m.forms = model.forms_of_pairs(m.pairs)
     return m
 
 
 def links_of(spark: SparkSession, d: str) -> DataFrame:
     """Linked mentions of the occurrences, in the shape that sinks and tags take: the context is the text."""
-    got = api.link_mentions(mentions(spark, d), kb_model(spark, d), "occ_id").filter(F.col("rank") == 1)
+    got = api.link_mentions(mentions(spark, d), kb_model(spark, d, cut), "occ_id").filter(F.col("rank") == 1)
     at = table(spark, d, "occs").select("occ_id", F.col("text_offset").alias("start"), "context")
     return got.join(at, "occ_id")
 
 
-@query(None)
-def n15_annotate(spark: SparkSession, d: str) -> DataFrame:
-    """All documents: spots, candidates, scores, filters."""
-    return api.annotate(table(spark, d, "documents").select("doc_id", "text"), corpus_model(spark, d)).select("doc_id", "start", "name", "uri", "support", F.round("final_score", 6).alias("final_score"), F.round("second_rank", 6).alias("second_rank"))
-
-
-@query(None)
-def n16_candidates(spark: SparkSession, d: str) -> DataFrame:
-    got = api.candidates(table(spark, d, "documents").select("doc_id", "text"), corpus_model(spark, d))
-    return got.select("doc_id", "start", "name", "uri", "rank", F.round("score", 6).alias("score"))
-
-
-@query(None)
+@query(f"{FOLD} SELECT {_SPOT} FROM kept")
 def n17_spot(spark: SparkSession, d: str) -> DataFrame:
     return api.spot(table(spark, d, "documents").select("doc_id", "text"), corpus_model(spark, d))
 
 
-@query(None)
-def n18_disambiguate(spark: SparkSession, d: str) -> DataFrame:
-    """Links of the names that contexts mark with double brackets."""
-    docs = table(spark, d, "occs").filter(F.contains("context", F.lit("[["))).select("occ_id", F.col("context").alias("text"))
-    return api.disambiguate(docs, corpus_model(spark, d), key="occ_id", confidence=0.0).select("occ_id", "start", "name", "uri")
-
-
 @query("SELECT occ_id, concat_ws(chr(9), coalesce(id, ''), coalesce(uri, ''), coalesce(surface_form, ''), coalesce(regexp_replace(context, '\\s+', ' ', 'g'), ''), coalesce(CAST(text_offset AS VARCHAR), '')) AS line FROM occs")
 def b03_occurrence_lines(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs").select("occ_id", sinks.occurrence_line().alias("line"))
 
 
-@query(None)
+_ESC = "replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+#: Links of the mentions in SQL: li(occ_id, uri, support, final_score, name, start).
+LINKS = f"""WITH x AS ({SQL_OF["f13_linked_mentions"]}), li AS (SELECT x.*, o.surface_form AS name, o.text_offset AS start FROM x JOIN occs o ON o.occ_id = x.occ_id)"""
+
+
+@query(f"""{LINKS} SELECT occ_id, '<Annotation><Resources>' || coalesce('<Resource URI="' || {_ESC.format("uri")} || '" support="' || support || '" surfaceForm="' || {_ESC.format("name")} || '" offset="' || start || '"/>', '') || '</Resources></Annotation>' AS xml FROM li""")
 def b06_annotation_xml(spark: SparkSession, d: str) -> DataFrame:
     return sinks.annotation_xml(links_of(spark, d), "occ_id")
 
 
-@query(None)
+@query(f"""{LINKS} SELECT occ_id, '[{{' || CASE WHEN start IS NULL THEN '' ELSE '"offset":' || start || ',' END || '"surfaceForm":' || CAST(to_json(name) AS VARCHAR) || ',"URI":' || CAST(to_json(uri) AS VARCHAR) || ',"support":' || support || ',"similarityScore":"' || printf('%.6f', round(final_score, 6)) || '"}}]' AS json FROM li""")
 def b08_annotation_json(spark: SparkSession, d: str) -> DataFrame:
     return sinks.annotation_json(links_of(spark, d), "occ_id")
 
@@ -91,21 +81,11 @@ def b09_annotated_html(spark: SparkSession, d: str) -> DataFrame:
     return sinks.annotated_html(sound.select("occ_id", "context"), links, "occ_id", "context").select("occ_id", "html")
 
 
-@query("""SELECT '<http://kb.example/text/' || occ_id || '#char=' || text_offset || ',' || (text_offset + length(surface_form)) || '> nif:beginIndex "' || text_offset || '" ; nif:endIndex "' || (text_offset + length(surface_form)) || '" ; nif:anchorOf "' || surface_form || '" ; itsrdf:taIdentRef <http://kb.example/resource/' || uri || '> .' AS line
-  FROM occs WHERE uri IS NOT NULL AND text_offset IS NOT NULL AND regexp_full_match(surface_form, '[a-zA-Z0-9 -]+')""")
+@query(f"""SELECT '<http://kb.example/text/' || occ_id || '#char=' || text_offset || ',' || (text_offset + length(surface_form)) || '> nif:beginIndex "' || text_offset || '" ; nif:endIndex "' || (text_offset + length(surface_form)) || '" ; nif:anchorOf "' || {NT.format('surface_form')} || '" ; itsrdf:taIdentRef <http://kb.example/resource/' || uri || '> .' AS line
+  FROM occs WHERE uri IS NOT NULL AND text_offset IS NOT NULL AND surface_form IS NOT NULL""")
 def b10_turtle(spark: SparkSession, d: str) -> DataFrame:
-    """Links whose names need no escapes, which SQL doesn't write; all: b10_turtle_all."""
-    return _turtle(table(spark, d, "occs").filter(F.col("surface_form").rlike("^[a-zA-Z0-9 -]+$")))
-
-
-@query(None)
-def b10_turtle_all(spark: SparkSession, d: str) -> DataFrame:
     """Links of all names, escaped where needed."""
-    return _turtle(table(spark, d, "occs").filter(F.col("surface_form").isNotNull()))
-
-
-def _turtle(occs: DataFrame) -> DataFrame:
-    rows = occs.filter(F.col("uri").isNotNull() & F.col("text_offset").isNotNull())
+    rows = table(spark, d, "occs").filter(F.col("surface_form").isNotNull() & F.col("uri").isNotNull() & F.col("text_offset").isNotNull())
     return sinks.turtle_lines(rows.select("occ_id", F.col("text_offset").alias("start"), F.col("surface_form").alias("name"), "uri"), "occ_id").select("line")
 
 
@@ -114,32 +94,26 @@ def b12_markers_removed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs").filter(F.contains("context", F.lit("[["))).select("occ_id", F.regexp_replace("context", "\\[\\[|\\]\\]", "").alias("plain"))
 
 
-@query(f"""WITH {PAIRS} SELECT '<http://kb.example/resource/' || uri || '> <http://www.w3.org/2000/01/rdf-schema#label> "' || name || '" .' AS line FROM pairs WHERE regexp_full_match(name, '[a-zA-Z0-9 -]+')""")
+@query(f"""WITH {PAIRS} SELECT '<http://kb.example/resource/' || uri || '> <http://www.w3.org/2000/01/rdf-schema#label> "' || {NT.format('name')} || '" .' AS line FROM pairs""")
 def b16_name_triples(spark: SparkSession, d: str) -> DataFrame:
-    """Names that need no escapes, which SQL doesn't write; all: b16_name_triples_all."""
-    return sinks.name_triples(model.pair_counts(table(spark, d, "occs")).filter(F.col("name").rlike("^[a-zA-Z0-9 -]+$")))
-
-
-@query(None)
-def b16_name_triples_all(spark: SparkSession, d: str) -> DataFrame:
     """All names, escaped where needed."""
     return sinks.name_triples(model.pair_counts(table(spark, d, "occs")))
 
 
-@query(None)
+@query(f"""WITH x AS ({SQL_OF["h18_lexicalisations"]}) SELECT '<http://kb.example/resource/' || uri || '> <http://kb.example/score/pmi> "' || printf('%.6f', round(pmi, 6)) || '" "' || {NT.format('name')} || '" .' AS line FROM x WHERE n >= 5""")
 def b15_score_quads(spark: SparkSession, d: str) -> DataFrame:
     return sinks.score_quads(model.lexicalisations(model.pair_counts(table(spark, d, "occs"))))
 
 
-@query("SELECT uri, count(*) AS uri_count, string_agg(DISTINCT surface_form, '|' ORDER BY surface_form) AS forms, count(context) AS n_contexts FROM occs WHERE uri IS NOT NULL GROUP BY uri")
+@query("""SELECT uri, 'surface_form' AS field, CAST(NULL AS BIGINT) AS position, surface_form AS value, count(*) AS n FROM occs WHERE uri IS NOT NULL AND surface_form IS NOT NULL GROUP BY uri, surface_form
+  UNION ALL SELECT uri, 'context', row_number() OVER (PARTITION BY uri ORDER BY occ_id), context, 1 FROM occs WHERE uri IS NOT NULL AND context IS NOT NULL""")
 def b23_inverted_index(spark: SparkSession, d: str) -> DataFrame:
-    got = sinks.inverted_index(table(spark, d, "occs"))
-    return got.select("uri", "uri_count", F.when(F.size("surface_forms") > 0, F.array_join("surface_forms", "|")).alias("forms"), "n_contexts")
+    return sinks.inverted_index(table(spark, d, "occs"))
 
 
 @query("SELECT uri, count(*) AS uri_count, count(context) AS n_contexts FROM occs WHERE uri IS NOT NULL GROUP BY uri HAVING count(*) >= 5")
 def b27_compressed_index(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.compressed_index(sinks.inverted_index(table(spark, d, "occs")), 5)
+    return sinks.compressed_index(table(spark, d, "occs"), 5)
 
 
 @query("""SELECT source, doc_id, '["' || string_agg(w, '","' ORDER BY w) || '"]' AS tags FROM (SELECT DISTINCT source, doc_id, uri AS w FROM documents WHERE uri IS NOT NULL) GROUP BY source, doc_id""")
@@ -179,19 +153,26 @@ def m02_spot_scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.set_scores(rows.filter(F.col("text_offset").isNotNull()), predicted, ["context", "surface_form", "text_offset"])
 
 
-@query("""WITH g AS (SELECT DISTINCT source, uri FROM documents WHERE uri IS NOT NULL AND source IS NOT NULL), p AS (SELECT DISTINCT source, uri FROM documents JOIN (SELECT DISTINCT uri FROM occs WHERE uri IS NOT NULL) USING (uri) WHERE source IS NOT NULL)
-  SELECT source, count(p.uri) AS tp, 0 AS fp, count(*) - count(p.uri) AS fn, CASE WHEN count(p.uri) > 0 THEN 1.0 ELSE 0.0 END AS precision, count(p.uri) / count(*) AS recall, 2 * count(p.uri) / (count(p.uri) + count(*)) AS f1 FROM g LEFT JOIN p USING (source, uri) GROUP BY source""")
+@query(f"""WITH {CAND}, g AS (SELECT name, uri FROM pairs WHERE n >= 2), p AS (SELECT name, uri FROM (SELECT name, uri, row_number() OVER (PARTITION BY name ORDER BY prior DESC, uri) AS r FROM candidates) WHERE r = 1),
+  j AS (SELECT len(string_split(name, ' ')) AS n_words, count(g.name2) FILTER (WHERE p.name2 IS NOT NULL) AS tp, count(*) FILTER (WHERE g.name2 IS NULL) AS fp, count(*) FILTER (WHERE p.name2 IS NULL) AS fn FROM (SELECT name, uri, name AS name2 FROM g) g FULL JOIN (SELECT name, uri, name AS name2 FROM p) p USING (name, uri) GROUP BY 1)
+  SELECT n_words, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM j""")
 def m03_set_scores_by_source(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter(F.col("uri").isNotNull() & F.col("source").isNotNull())
-    seen = docs.join(table(spark, d, "occs").select("uri").distinct(), "uri", "left_semi")
-    return evaluation.set_scores(docs, seen, ["source", "uri"], ["source"]).select("source", "tp", F.col("fp").cast("long").alias("fp"), "fn", "precision", "recall", "f1")
+    """The likeliest resource of every name against the pairs seen twice, by the number of words of the name."""
+    m = kb_model(spark, d)
+    size = F.size(F.split("name", " ")).cast("long").alias("n_words")
+    gold = m.pairs.filter(F.col("n") >= 2).select("name", "uri", size)
+    best = linking.by_prior(m.candidates, m.candidates.select("name").distinct(), 1).select("name", "uri", size)
+    return evaluation.set_scores(gold, best, ["name", "uri", "n_words"], ["n_words"])
 
 
-@query(None)
+@query(f"""{LINKS}, c AS (SELECT s, c FROM (SELECT unnest([0, 100, 1000]) AS s), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 0.9]) AS c)), g AS (SELECT DISTINCT occ_id, uri FROM occs WHERE uri IS NOT NULL)
+  SELECT c.s AS min_support, CAST(c.c AS DOUBLE) AS min_confidence, count(g.uri) AS tp, count(*) AS predicted, count(g.uri) / count(*) AS precision, count(g.uri) / (SELECT count(*) FROM g) AS recall
+  FROM li JOIN c ON li.support > c.s AND li.final_score >= c.c LEFT JOIN g ON g.occ_id = li.occ_id AND g.uri = li.uri GROUP BY c.s, c.c""")
 def m05_linker_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """The linker's precision and recall over a grid of support and confidence."""
     gold = table(spark, d, "occs").filter(F.col("uri").isNotNull()).select("occ_id", "uri")
-    return evaluation.grid_scores(gold, links_of(spark, d).select("occ_id", "uri", "support", "final_score"), ["occ_id", "uri"], [0, 100, 1000], [0.0, 0.25, 0.5, 0.75, 0.9])
+    rounded = links_of(spark, d).select("occ_id", "uri", "support", F.round("final_score", 6).alias("final_score"))
+    return evaluation.grid_scores(gold, rounded, ["occ_id", "uri"], [0, 100, 1000], [0.0, 0.25, 0.5, 0.75, 0.9])
 
 
 @query("SELECT coalesce(substr(context, text_offset + 1, length(surface_form)) = surface_form AND text_offset >= 0, FALSE) AS stands, count(*) AS n FROM occs GROUP BY 1")
@@ -206,7 +187,7 @@ _NB = f"{_WEIGHT}, ev AS (SELECT lang AS topic, token, sum(w) AS mass FROM w GRO
 
 def _topic_rows(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter(F.col("lang").isNotNull()).withColumn("topic", F.lower(F.substring("lang", 1, 2)))
-    return topics.weighted(topics.features(docs, "doc_id", "text", ("topic",)), "doc_id", ("topic",))
+    return cut(topics.weighted(topics.features(docs, "doc_id", "text", ("topic",)), "doc_id", ("topic",)))
 
 
 @query(f"WITH {_WEIGHT} SELECT doc_id, token, round(w, 8) AS w FROM w")
@@ -230,15 +211,15 @@ def l03_topic_prediction(spark: SparkSession, d: str) -> DataFrame:
     return topics.predict(rows.select("doc_id", "token", "w"), topics.log_weights(topics.train(rows)), "doc_id").select("doc_id", "topic", F.round("p", 6).alias("p"))
 
 
-@query(None)
+@query(f"""WITH x AS ({SQL["l03_topic_prediction"]}) SELECT doc_id, topic FROM x WHERE p >= 0.4 UNION ALL SELECT doc_id, 'other' FROM x GROUP BY doc_id HAVING max(p) < 0.4""")
 def l08_topic_assignment(spark: SparkSession, d: str) -> DataFrame:
     return topics.assign(l03_topic_prediction(spark, d), "doc_id", 0.4)
 
 
-@query("WITH s AS (SELECT min(n) AS least, count(*) AS sources FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)) SELECT source, least AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), s")
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(md5(CAST(doc_id AS VARCHAR)), 1, 15)) AS k FROM documents WHERE source IS NOT NULL)
+  SELECT doc_id, source FROM r WHERE k <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source))""")
 def l09_balanced_corpus(spark: SparkSession, d: str) -> DataFrame:
-    got = topics.balanced(table(spark, d, "documents").filter(F.col("source").isNotNull()).select("doc_id", "source"), "source", "doc_id")
-    return got.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return topics.balanced(table(spark, d, "documents").filter(F.col("source").isNotNull()).select("doc_id", "source"), "source", "doc_id")
 
 
 @query("""WITH pr AS (SELECT uri, source AS topic, count(*) AS n FROM documents WHERE uri IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2), al AS (SELECT uri, sum(n) AS all_n FROM pr GROUP BY uri), o AS (SELECT regexp_extract(id, '^(.*)-p[0-9]+l[0-9]+$', 1) AS page, uri, count(*) AS occ FROM occs WHERE uri IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2),
@@ -282,28 +263,15 @@ def j08_top_share_of_words(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE source IS NOT NULL) WHERE r <= 20")
 def l10_first_per_topic(spark: SparkSession, d: str) -> DataFrame:
     """The first twenty documents of every topic (here: source)."""
-    from pyspark.sql.window import Window
+    return topics.first_of_each(table(spark, d, "documents").select("doc_id", "source"), "source", [F.col("doc_id")], 20, spread="doc_id")
 
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").filter(F.col("source").isNotNull()).withColumn("r", rank).filter(F.col("r") <= 20).select("doc_id", "source")
 
-
-@query(f"""WITH {CAND} SELECT name, '[' || string_agg('{{"uri":"' || uri || '","n":' || n || '}}', ',' ORDER BY n DESC, uri) || ']' AS candidates FROM candidates WHERE regexp_full_match(uri, '[a-zA-Z0-9_()-]+') GROUP BY name""")
+@query(f"""WITH {CAND} SELECT name, '[' || string_agg('{{"uri":' || CAST(to_json(uri) AS VARCHAR) || ',"n":' || n || '}}', ',' ORDER BY n DESC, uri) || ']' AS candidates FROM candidates GROUP BY name""")
 def b07_nested_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Nested candidates whose uris need no escapes, which SQL doesn't write; all: b07_nested_candidates_all."""
-    return _nested(kb_model(spark, d).candidates.filter(F.col("uri").rlike("^[a-zA-Z0-9_()-]+$")))
-
-
-@query(None)
-def b07_nested_candidates_all(spark: SparkSession, d: str) -> DataFrame:
-    """All candidates of every name as one nested JSON value, the most frequent first."""
-    return _nested(kb_model(spark, d).candidates)
-
-
-def _nested(candidates: DataFrame) -> DataFrame:
+    """All candidates of every name as one nested JSON value, the most frequent first; a name has as many as it is ambiguous."""
     one = F.struct((-F.col("n")).alias("minus"), "uri", "n")
     ordered = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["uri"].alias("uri"), x["n"].alias("n")))
-    return candidates.groupBy("name").agg(F.to_json(ordered).alias("candidates"))
+    return kb_model(spark, d).candidates.groupBy("name").agg(F.to_json(ordered).alias("candidates"))
 
 
 @query(f"WITH p AS (SELECT DISTINCT page, uri FROM ({PAGE})), c AS (SELECT a.uri, b.uri AS other, count(*) AS n FROM p a JOIN p b ON b.page = a.page AND b.uri <> a.uri GROUP BY 1, 2) SELECT uri, other, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY n DESC, other) AS rank FROM c) WHERE rank <= 5")

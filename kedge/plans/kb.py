@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kedge.functions import scalars as S
 from kedge.functions import text as T
 from kedge.operators import filters, hierarchy, model
+from kedge.operators.skew import salted_join
 from kedge.session import table
 from kedge.sources import sinks
 
@@ -41,8 +43,10 @@ def occs_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs")
 
 
-def kb_model(spark: SparkSession, d: str) -> model.Model:
-    return model.build(occs_of(spark, d), table(spark, d, "dbpediaresource"), table(spark, d, "surface_forms"))
+def kb_model(spark: SparkSession, d: str, write=None) -> model.Model:
+    """The model of the test tables: lazy for queries of one table, written once (``write=cut``) for those that link."""
+    given = {"write": write} if write else {}
+    return model.build(occs_of(spark, d), table(spark, d, "dbpediaresource"), table(spark, d, "surface_forms"), **given)
 
 
 @query(f"WITH {FORMS} SELECT name, annotated, total FROM forms")
@@ -128,8 +132,6 @@ def a08_types_of_uris(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT DISTINCT uri, unnest({_TYPES}) AS type FROM dbpediaresource WHERE types IS NOT NULL), x AS (SELECT uri, string_agg(type, ',' ORDER BY type) AS types FROM t GROUP BY uri)
   SELECT occ_id, coalesce(x.types, '') AS types FROM occs LEFT JOIN x ON x.uri = occs.uri""")
 def a10_occurrences_with_types(spark: SparkSession, d: str) -> DataFrame:
-    from kedge.operators.skew import salted_join
-
     types = table(spark, d, "dbpediaresource").select("uri", F.explode(S.types_of_csv(F.col("types"))).alias("type")).filter(F.col("uri").isNotNull())
     of = types.groupBy(F.col("uri").alias("u")).agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
     return salted_join(occs_of(spark, d).select("occ_id", "uri"), of, "uri", "u", "left", spread=["occ_id"]).select("occ_id", F.coalesce("types", F.lit("")).alias("types"))
@@ -161,11 +163,12 @@ def a21_bags_strict(spark: SparkSession, d: str) -> DataFrame:
     return bags.parse_pig(bags.write_pig(model.context_counts(occs_of(spark, d))), 3, strict=True)
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\\n+')) AS par FROM documents WHERE text IS NOT NULL)
-  SELECT doc_id, count(*) AS paragraphs, CAST(sum(length(par)) AS BIGINT) AS chars FROM p WHERE trim(par, chr(13) || chr(32)) <> '' GROUP BY doc_id""")
+@query("""WITH p AS (SELECT doc_id, i - 1 AS par, ps[i] AS text FROM (SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT doc_id, string_split_regex(text, '\\n+') AS ps FROM documents WHERE text IS NOT NULL)))
+  SELECT doc_id, par, text FROM p WHERE trim(text, chr(13) || chr(32)) <> ''""")
 def a28_paragraph_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.explode(F.split("text", "\\n+")).alias("par")).filter(F.btrim("par", F.lit("\r ")) != "")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.char_length("par")).alias("chars"))
+    """The paragraphs of each page."""
+    rows = table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\\n+")).alias("par", "text"))
+    return rows.filter(F.btrim("text", F.lit("\r ")) != "").select("doc_id", F.col("par").cast("long").alias("par"), "text")
 
 
 _LINKS = """SELECT occ_id, unnest(regexp_extract_all(context, '\\[\\[([^\\[\\]]*)\\]\\]', 1)) AS link FROM occs WHERE context IS NOT NULL"""
@@ -181,8 +184,6 @@ def a24_wiki_link_occurrences(spark: SparkSession, d: str) -> DataFrame:
   (SELECT uri, string_agg(DISTINCT source, ',' ORDER BY source) AS categories FROM documents WHERE uri IS NOT NULL AND source IS NOT NULL GROUP BY uri) d ON d.uri = o.uri""")
 def a31_occurrence_categories(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences with the categories (here: sources) of their resource's articles."""
-    from kedge.operators.skew import salted_join
-
     cats = table(spark, d, "documents").filter(F.col("uri").isNotNull() & F.col("source").isNotNull()).groupBy(F.col("uri").alias("u")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("categories"))
     return salted_join(occs_of(spark, d).select("occ_id", "uri"), cats, "uri", "u", "left", spread=["occ_id"]).select("occ_id", F.coalesce("categories", F.lit("")).alias("categories"))
 
@@ -291,16 +292,19 @@ def h13_concept_uris(spark: SparkSession, d: str) -> DataFrame:
     return titles.subtract(away).filter(~F.contains("uri", F.lit("(disambiguation)")))
 
 
-@query("""SELECT DISTINCT trim(regexp_replace(replace(uri, '_', ' '), ' \\([^)]*\\)$', '')) AS name, uri FROM (SELECT uri FROM dbpediaresource WHERE uri IS NOT NULL AND NOT contains(uri, '%') UNION SELECT uri FROM occs WHERE uri IS NOT NULL AND NOT contains(uri, '%'))""")
+@query("""WITH t AS (SELECT uri, uri AS title FROM dbpediaresource WHERE uri IS NOT NULL UNION SELECT uri, uri FROM occs WHERE uri IS NOT NULL)
+  SELECT DISTINCT trim(regexp_replace(replace(url_decode(replace(title, '+', '%2B')), '_', ' '), ' \\([^)]*\\)$', '')) AS name, uri FROM t""")
 def h15_forms_of_titles(spark: SparkSession, d: str) -> DataFrame:
-    uris = table(spark, d, "dbpediaresource").select("uri").union(occs_of(spark, d).select("uri")).filter(F.col("uri").isNotNull() & ~F.contains("uri", F.lit("%"))).distinct()
+    uris = table(spark, d, "dbpediaresource").select("uri").union(occs_of(spark, d).select("uri")).filter(F.col("uri").isNotNull()).distinct()
     return uris.select(S.surface_form_of(F.col("uri")).alias("name"), "uri").distinct()
 
 
-@query(f"WITH {PAIRS} SELECT uri, count(*) AS forms, string_agg(name, '|' ORDER BY name) AS names FROM pairs GROUP BY uri")
+@query(f"WITH {PAIRS} SELECT uri, name, n, sum(n) OVER (PARTITION BY uri) AS uses, count(*) OVER (PARTITION BY uri) AS forms FROM pairs")
 def h17_forms_per_uri(spark: SparkSession, d: str) -> DataFrame:
+    """The names of every resource, a row each, with how many there are: no resource's names are gathered in one row."""
     pairs = model.pair_counts(occs_of(spark, d))
-    return pairs.groupBy("uri").agg(F.count(F.lit(1)).alias("forms"), F.array_join(F.array_sort(F.collect_list("name")), "|").alias("names"))
+    sizes = pairs.groupBy(F.col("uri").alias("u")).agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("forms"))
+    return salted_join(pairs, sizes, "uri", "u", spread=["name"]).select("uri", "name", "n", "uses", "forms")
 
 
 _LEX = f"""WITH {PAIRS}, t AS (SELECT sum(n) AS t FROM pairs), u AS (SELECT uri, sum(n) AS nu FROM pairs GROUP BY uri), s AS (SELECT name, sum(n) AS ns FROM pairs GROUP BY name)
@@ -312,15 +316,8 @@ def h18_lexicalisations(spark: SparkSession, d: str) -> DataFrame:
     return model.lexicalisations(model.pair_counts(occs_of(spark, d)))
 
 
-@query("SELECT uri, count(*) AS contexts, CAST(sum(length(context)) AS BIGINT) AS chars FROM occs WHERE uri IS NOT NULL AND context IS NOT NULL GROUP BY uri")
-def h19_merged_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the contexts merged per resource; the contexts: h19_merged_context_rows."""
-    rows = occs_of(spark, d).filter(F.col("uri").isNotNull() & F.col("context").isNotNull())
-    return rows.groupBy("uri").agg(F.count(F.lit(1)).alias("contexts"), F.sum(F.char_length("context")).alias("chars"))
-
-
 @query("SELECT uri, row_number() OVER (PARTITION BY uri ORDER BY occ_id) AS position, surface_form, context FROM occs WHERE uri IS NOT NULL AND context IS NOT NULL")
-def h19_merged_context_rows(spark: SparkSession, d: str) -> DataFrame:
+def h19_merged_contexts(spark: SparkSession, d: str) -> DataFrame:
     """The contexts of every resource, sorted by resource; a row each, so that no resource's text is gathered in one."""
     return sinks.merged_contexts(occs_of(spark, d))
 
@@ -346,10 +343,10 @@ def h22_document_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {CTX} SELECT uri, token, n, rank FROM (SELECT uri, token, n, row_number() OVER (PARTITION BY uri ORDER BY n DESC, token) AS rank FROM ctx) WHERE rank <= 5")
 def h23_context_signatures(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+    from kedge.operators.topics import first_of_each
 
-    ctx = model.context_counts(occs_of(spark, d))
-    return ctx.withColumn("rank", F.row_number().over(Window.partitionBy("uri").orderBy(F.desc("n"), "token"))).filter(F.col("rank") <= 5)
+    first = first_of_each(model.context_counts(occs_of(spark, d)), "uri", [F.desc("n"), F.col("token")], 5, spread="token")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("uri").orderBy(F.desc("n"), "token")))
 
 
 @query("""WITH r AS (SELECT occ_id, surface_form, uri, row_number() OVER (PARTITION BY surface_form, uri ORDER BY occ_id) AS k, count(*) OVER (PARTITION BY surface_form, uri) AS n FROM occs WHERE uri IS NOT NULL AND surface_form IS NOT NULL),

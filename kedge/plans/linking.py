@@ -11,7 +11,8 @@ from kedge.functions import text as T
 from kedge.operators import filters, linking, model, spotting
 from kedge.operators.skew import salted_join
 from kedge.plans.kb import CAND, CTX, FORMS, LOWER, PAIRS, RES, TOTALS, WORDS, kb_model
-from kedge.session import table
+from kedge.plans.scalar import ALIKE, EDITS, SPANS
+from kedge.session import cut, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -35,6 +36,9 @@ dict AS (SELECT array_to_string(w, ' ') AS key, len(w) AS n, arg_max(name, (p, n
 MATCHES = f"""{DICT}, doc AS (SELECT doc_id, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
 gram AS (SELECT doc_id, i - 1 AS pos, n, array_to_string(w[i:i + n - 1], ' ') AS key FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM (SELECT doc_id, w, unnest(generate_series(1, 6)) AS n FROM doc))),
 spots AS (SELECT g.doc_id, g.pos, g.n, d.name, d.p FROM gram g JOIN dict d ON d.key = g.key)"""
+# Matches with characters: atx(doc_id, start, size, pos, n, name, p).
+PLACED = f"""{MATCHES}, {SPANS.format(key='doc_id', text='text', table='documents')},
+atx AS (SELECT s.doc_id, a.start, z.start + length(z.token) - a.start AS size, s.pos, s.n, s.name, s.p FROM spots s JOIN span a ON a.doc_id = s.doc_id AND a.pos = s.pos JOIN span z ON z.doc_id = s.doc_id AND z.pos = s.pos + s.n - 1)"""
 SCORE = "(1.0 * p + 0.2 * CASE WHEN length(name) < 5 AND upper(name) = name AND NOT regexp_full_match(name, '[0-9]+') AND regexp_matches(name, '\\p{L}') THEN 1 ELSE 0 END - 0.2 * CASE WHEN regexp_full_match(name, '[0-9.,]+') THEN 1 ELSE 0 END + 0.1)"
 MENTIONS = "m AS (SELECT occ_id, surface_form AS name, context AS text FROM occs WHERE surface_form IS NOT NULL AND context IS NOT NULL)"
 
@@ -79,13 +83,25 @@ def d09_unweighted_spots(spark: SparkSession, d: str) -> DataFrame:
     return got.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("n_tokens").cast("long").alias("n_tokens"), "name", "p")
 
 
-@query(None)
+# The ordered fold over a text's spots: kept(doc_id, start, size, pos, n, name, p).
+FOLD = f"""WITH RECURSIVE {PLACED}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, size, pos) AS i FROM atx WHERE {SCORE} >= 0.5),
+step AS (SELECT doc_id, i, i AS last, start, size, p, CAST(NULL AS BIGINT) AS out FROM o WHERE i = 1
+  UNION ALL SELECT o.doc_id, o.i, CASE WHEN meets AND NOT takes THEN t.last ELSE o.i END, CASE WHEN meets AND NOT takes THEN t.start ELSE o.start END, CASE WHEN meets AND NOT takes THEN t.size ELSE o.size END, CASE WHEN meets AND NOT takes THEN t.p ELSE o.p END, CASE WHEN NOT meets THEN t.last END
+  FROM (SELECT t.doc_id, t.i, t.last, t.start, t.size, t.p, o.i AS oi, o.start < t.start + t.size AS meets,
+      CASE WHEN o.size > t.size AND o.p > t.p / 2 THEN TRUE WHEN o.size <= t.size AND o.p <= t.p * 2 THEN FALSE WHEN o.p = t.p THEN FALSE ELSE o.p > t.p END AS takes FROM step t JOIN o ON o.doc_id = t.doc_id AND o.i = t.i + 1) t JOIN o ON o.doc_id = t.doc_id AND o.i = t.oi),
+kept AS (SELECT o.* FROM o JOIN (SELECT doc_id, out AS k FROM step WHERE out IS NOT NULL UNION ALL SELECT doc_id, arg_max(last, i) FROM step GROUP BY doc_id) e ON e.doc_id = o.doc_id AND e.k = o.i)"""
+_SPOT = "doc_id, CAST(pos AS INTEGER) AS pos, CAST(n AS INTEGER) AS n_tokens, CAST(start AS INTEGER) AS start, CAST(size AS INTEGER) AS length, name, p"
+
+
+@query(f"{FOLD} SELECT {_SPOT} FROM kept")
 def d10_resolved_spots(spark: SparkSession, d: str) -> DataFrame:
-    """One spot per stretch of text: the ordered fold (tested against a plain loop)."""
+    """One spot per stretch of text: the ordered fold."""
     return spotting.resolve_overlaps(spotting.accepted(matches_of(spark, d), 0.5))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {PLACED}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, size DESC, pos) AS i FROM atx),
+  step AS (SELECT doc_id, i, start + size AS e, TRUE AS keep FROM o WHERE i = 1 UNION ALL SELECT o.doc_id, o.i, CASE WHEN o.start > t.e THEN o.start + o.size ELSE t.e END, o.start > t.e FROM step t JOIN o ON o.doc_id = t.doc_id AND o.i = t.i + 1)
+  SELECT {_SPOT} FROM o JOIN step USING (doc_id, i) WHERE keep""")
 def d13_leftmost_longest(spark: SparkSession, d: str) -> DataFrame:
     return spotting.leftmost_longest(matches_of(spark, d))
 
@@ -165,35 +181,20 @@ def e03_ambiguity(spark: SparkSession, d: str) -> DataFrame:
     return linking.ambiguity(names_of(spark, d), kb_model(spark, d).candidates)
 
 
-@query("""WITH f AS (SELECT DISTINCT surface_form AS name FROM occs WHERE surface_form IS NOT NULL AND regexp_full_match(surface_form, '[ -~]+')), k AS (SELECT name, substr(lower(name), 1, 3) AS b FROM surface_forms WHERE regexp_full_match(name, '[ -~]+'))
-  SELECT f.name, k.name AS form, 1 - levenshtein(lower(f.name), lower(k.name)) / greatest(length(f.name), length(k.name)) AS similarity FROM f JOIN k ON k.b = substr(lower(f.name), 1, 3) AND abs(length(f.name) - length(k.name)) <= 3
-  WHERE 1 - levenshtein(lower(f.name), lower(k.name)) / greatest(length(f.name), length(k.name)) >= 0.5""")
-def e09_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names at least half alike, of those names whose edits SQL counts as well (ASCII); all: e09_fuzzy_names_all."""
-    plain = F.col("name").rlike("^[ -~]+$")
-    return linking.fuzzy_names(names_of(spark, d).filter(plain), table(spark, d, "surface_forms").filter(plain))
+_BI = "SELECT DISTINCT name, substr('^' || lower(name) || '$', CAST(i AS INTEGER), 2) AS g FROM (SELECT name, unnest(generate_series(1, length(name) + 1)) AS i FROM {0} WHERE name IS NOT NULL)"
 
 
-@query(None)
-def e09_fuzzy_names_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""WITH {_NAMES}, ba AS ({_BI.format('names')}), bb AS ({_BI.format('(SELECT DISTINCT name FROM surface_forms)')}), p AS (SELECT ba.name, bb.name AS form FROM ba JOIN bb ON bb.g = ba.g WHERE abs(length(ba.name) - length(bb.name)) * 2 <= greatest(length(ba.name), length(bb.name)) GROUP BY 1, 2 HAVING count(*) >= 2),
+  s AS (SELECT name, form, 1 - {EDITS.format('lower(name)', 'lower(form)')} / greatest(length(name), length(form)) AS similarity FROM p) SELECT * FROM s WHERE similarity >= 0.5""")
+def e09_fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     """Names at least half alike, in any script."""
-    return linking.fuzzy_names(names_of(spark, d), table(spark, d, "surface_forms"))
-
+    return linking.fuzzy_names(names_of(spark, d), table(spark, d, "surface_forms").filter(F.col("name").isNotNull()).select("name").distinct())
 
-_TRI = "SELECT DISTINCT name, substr(lower(name), i, 3) AS g FROM (SELECT name, unnest(generate_series(1, length(name) - 2)) AS i FROM {0} WHERE regexp_full_match(name, '[ -~]+'))"
 
-
-@query(f"WITH {_NAMES}, a AS ({_TRI.format('names')}), b AS ({_TRI.format('surface_forms')}), s AS (SELECT name, count(*) AS n FROM b GROUP BY name) SELECT a.name, b.name AS form, count(*) AS shared FROM a JOIN b ON b.g = a.g GROUP BY a.name, b.name HAVING count(*) >= 6")
+@query(f"WITH {ALIKE} SELECT name, other AS form, shared FROM alike")
 def e10_trigram_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names that share at least six letter trigrams, of the ASCII names that SQL takes; all: e10_trigram_names_all."""
-    plain = F.col("name").rlike("^[ -~]+$")
-    return linking.trigram_names(names_of(spark, d).filter(plain), table(spark, d, "surface_forms").filter(plain))
-
-
-@query(None)
-def e10_trigram_names_all(spark: SparkSession, d: str) -> DataFrame:
     """Names that share at least six letter trigrams, in any script."""
-    return linking.trigram_names(names_of(spark, d), table(spark, d, "surface_forms"))
+    return linking.trigram_names(names_of(spark, d), table(spark, d, "surface_forms").filter(F.col("name").isNotNull()).select("name"))
 
 
 @query("""WITH f AS (SELECT DISTINCT surface_form AS name FROM occs WHERE surface_form IS NOT NULL), k AS (SELECT DISTINCT name FROM surface_forms),
@@ -230,7 +231,7 @@ def e15_resource_priors(spark: SparkSession, d: str) -> DataFrame:
   SELECT occ_id, uri, support, round(score, 6) AS score, round(final_score, 6) AS final_score, round(second_rank, 6) AS second_rank FROM fin WHERE rank = 1""")
 def f13_linked_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Every mention with its best entity: candidates, context score, prune against no entity, softmax, second rank."""
-    got = api.link_mentions(mentions(spark, d), kb_model(spark, d), "occ_id").filter(F.col("rank") == 1)
+    got = api.link_mentions(mentions(spark, d), kb_model(spark, d, cut), "occ_id").filter(F.col("rank") == 1)
     return got.select("occ_id", "uri", "support", F.round("score", 6).alias("score"), F.round("final_score", 6).alias("final_score"), F.round("second_rank", 6).alias("second_rank"))
 
 
@@ -240,7 +241,7 @@ SQL["g08_filtered_links"] = SQL["f13_linked_mentions"] + " AND support > 20 AND
 @query(None)
 def g08_filtered_links(spark: SparkSession, d: str) -> DataFrame:
     """Support, confidence and second rank."""
-    got = api.link_mentions(mentions(spark, d), kb_model(spark, d), "occ_id").filter(F.col("rank") == 1).transform(filters.pipeline(0.5, 20))
+    got = api.link_mentions(mentions(spark, d), kb_model(spark, d, cut), "occ_id").filter(F.col("rank") == 1).transform(filters.pipeline(0.5, 20))
     return got.select("occ_id", "uri", "support", F.round("score", 6).alias("score"), F.round("final_score", 6).alias("final_score"), F.round("second_rank", 6).alias("second_rank"))
 
 
@@ -264,12 +265,12 @@ def f18_baseline_by_support(spark: SparkSession, d: str) -> DataFrame:
 _ICF = f"{CAND}, {CTX}, {_NAMES}, cc AS (SELECT n.name, c.uri FROM names n JOIN candidates c ON c.name = n.name), nc AS (SELECT name, count(*) AS nc FROM cc GROUP BY name), icf AS (SELECT cc.name, x.token, count(*) AS holders, any_value(nc.nc) AS nc FROM cc JOIN ctx x ON x.uri = cc.uri JOIN nc ON nc.name = cc.name GROUP BY cc.name, x.token)"
 
 
-@query(f"WITH {_ICF} SELECT name, token, holders, ln(nc / holders) + 1 AS icf FROM icf WHERE nc > 1 AND holders = 1")
+@query(f"WITH {_ICF}, {MENTIONS}, q AS (SELECT DISTINCT name, token FROM (SELECT name, unnest({WORDS.format('text')}) AS token FROM m)) SELECT icf.name, icf.token, holders, ln(nc / holders) + 1 AS icf FROM icf JOIN q ON q.name = icf.name AND q.token = icf.token")
 def f21_icf_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights of the words that a single candidate of an ambiguous name holds."""
-    m = kb_model(spark, d)
-    got = linking.inverse_candidate_frequency(names_of(spark, d), m.candidates, m.contexts)
-    return got.filter((F.col("holders") == 1) & (F.col("icf") > 1))
+    """Weights of the words that mentions of each name hold."""
+    m = kb_model(spark, d, cut)
+    got = linking.inverse_candidate_frequency(linking.words_of(mentions(spark, d), "occ_id"), m.candidates, m.contexts)
+    return got.select("name", "token", "holders", "icf").distinct()
 
 
 @query(f"""WITH {_ICF}, {MENTIONS}, q AS (SELECT DISTINCT occ_id, name, token FROM (SELECT occ_id, name, unnest({WORDS.format('text')}) AS token FROM m)),
@@ -278,7 +279,7 @@ def f21_icf_weights(spark: SparkSession, d: str) -> DataFrame:
   SELECT occ_id, uri, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY occ_id ORDER BY round(score, 6) DESC, uri) AS r FROM a) WHERE r = 1""")
 def f19_icf_links(spark: SparkSession, d: str) -> DataFrame:
     """Every mention's best candidate by inverse candidate frequency."""
-    m = kb_model(spark, d)
+    m = kb_model(spark, d, cut)
     scored = linking.icf_scores(mentions(spark, d), m.candidates, m.contexts, "occ_id").withColumn("score", F.round("score", 6))
     return filters.best_per(scored, ["occ_id"], "score").select("occ_id", "uri", "score")
 
@@ -420,3 +421,11 @@ def j10_union(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT uri FROM dbpediaresource WHERE uri IS NOT NULL EXCEPT SELECT uri FROM occs")
 def j11_except(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "dbpediaresource").select("uri").filter(F.col("uri").isNotNull()).subtract(table(spark, d, "occs").select("uri"))
+
+
+def h_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(name, doc_id): documents that hold all words of each form."""
+    words = F.array_distinct(T.lower_words(F.col("name")))
+    names = names_of(spark, d).withColumn("w", words).withColumn("k", F.size("w"))
+    docs = table(spark, d, "documents").filter(F.col("text").isNotNull()).select(F.col("doc_id").alias("__d"), F.array_distinct(T.lower_words(F.col("text"))).alias("__w"))
+    return linking.with_all_terms(names, docs).select("name", F.col("__d").alias("doc_id"))

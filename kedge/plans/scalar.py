@@ -33,6 +33,26 @@ def _uris(spark: SparkSession, d: str) -> DataFrame:
 
 
 FORMS = "f AS (SELECT DISTINCT surface_form AS name FROM occs WHERE surface_form IS NOT NULL)"
+#: N-Triples escapes of a text, as SQL.
+NT = """array_to_string(list_transform(list_transform(generate_series(1, length({0})), lambda i: substr({0}, CAST(i AS INTEGER), 1)), lambda c: CASE WHEN c = '\\' THEN '\\\\' WHEN c = '"' THEN '\\"' WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t'
+  WHEN unicode(c) BETWEEN 32 AND 126 THEN c WHEN unicode(c) > 65535 THEN '\\U' || printf('%08X', unicode(c)) ELSE '\\u' || printf('%04X', unicode(c)) END), '')"""
+#: Edit distance by characters, as SQL (the built-in counts bytes): characters beyond ASCII of the pair stand for signs that the names don't hold.
+_ODD = "list_distinct(regexp_extract_all({0} || {1}, '[^ -~]'))"
+EDITS = f"levenshtein(translate({{0}}, array_to_string({_ODD}, ''), array_to_string(list_transform(generate_series(1, len({_ODD})), lambda i: chr(CAST(i AS INTEGER))), '')), translate({{1}}, array_to_string({_ODD}, ''), array_to_string(list_transform(generate_series(1, len({_ODD})), lambda i: chr(CAST(i AS INTEGER))), '')))"
+_TRIGRAM = "SELECT DISTINCT name, substr(lower(name), CAST(i AS INTEGER), 3) AS g FROM (SELECT name, unnest(generate_series(1, length(name) - 2)) AS i FROM {0} WHERE name IS NOT NULL)"
+#: Pairs of a mention's form and a known name that share six letter trigrams.
+ALIKE = f"f AS (SELECT DISTINCT surface_form AS name FROM occs WHERE surface_form IS NOT NULL), ta AS ({_TRIGRAM.format('f')}), tb AS ({_TRIGRAM.format('surface_forms')}), alike AS (SELECT ta.name, tb.name AS other, count(*) AS shared FROM ta JOIN tb ON tb.g = ta.g GROUP BY 1, 2 HAVING count(*) >= 6)"
+DECODED = "url_decode(replace(uri, '+', '%2B'))"
+#: Tokens with character offsets, as SQL: span({key}, pos, token, start).
+SPANS = """tg AS (SELECT {key}, regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}]+') AS w, string_split_regex({text}, '[\\p{{L}}\\p{{N}}]+') AS g FROM {table} WHERE {text} IS NOT NULL),
+  ti AS (SELECT {key}, i, w[i] AS token, length(g[i]) AS gap, length(w[i]) AS size FROM (SELECT {key}, w, g, unnest(generate_series(1, len(w))) AS i FROM tg)),
+  span AS (SELECT {key}, i - 1 AS pos, token, CAST(sum(gap + size) OVER (PARTITION BY {key} ORDER BY i) - size AS BIGINT) AS start FROM ti)"""
+_WIKI = "context"
+for _p, _by in (
+    [("(?s)<!--.*?-->", ""), ("(?s)<ref[^>/]*>.*?</ref>|<ref[^>]*/>", ""), ("(?s)\\{\\|.*?\\|\\}", "")] + [("\\{\\{[^{}]*\\}\\}", "")] * 5
+    + [("(?i)\\[\\[(?:file|image|category):[^\\[\\]]*\\]\\]", ""), ("__[A-Z]+__", ""), ("(?m)^=+ *(.*?) *=+ *$", "\\1"), ("''{2,5}".replace("''", "''", 1), ""), ("</?[a-zA-Z][^<>]*>", ""), ("(?m)^[*#:;]+ *", ""), ("\\[(?:https?)://[^ \\]]*(?: ([^\\]]*))?\\]", "\\1"), ("\n{2,}", "\n")]
+):
+    _WIKI = f"regexp_replace({_WIKI}, '{_p}', '{_by}', 'g')"
 URIS = "u AS (SELECT DISTINCT uri FROM occs WHERE uri IS NOT NULL)"
 
 
@@ -65,10 +85,9 @@ def i04_normal_uris(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("uri", S.normalise_uri(F.col("uri")).alias("normal"))
 
 
-@query(f"WITH {URIS} SELECT uri, trim(regexp_replace(replace(uri, '_', ' '), ' \\([^)]*\\)$', '')) AS name, lower(trim(regexp_replace(replace(uri, '_', ' '), ' \\([^)]*\\)$', ''))) AS lower_name FROM u WHERE NOT contains(uri, '%')")
+@query(f"WITH {URIS}, n AS (SELECT uri, trim(regexp_replace(replace({DECODED}, '_', ' '), ' \\([^)]*\\)$', '')) AS name FROM u) SELECT uri, name, lower(name) AS lower_name FROM n")
 def i06_surface_forms_of_uris(spark: SparkSession, d: str) -> DataFrame:
-    rows = _uris(spark, d).filter(~F.contains("uri", F.lit("%")))
-    return rows.select("uri", S.surface_form_of(F.col("uri")).alias("name"), S.surface_form_of(F.col("uri"), lower=True).alias("lower_name"))
+    return _uris(spark, d).select("uri", S.surface_form_of(F.col("uri")).alias("name"), S.surface_form_of(F.col("uri"), lower=True).alias("lower_name"))
 
 
 @query("""WITH t AS (SELECT DISTINCT unnest(string_split(types, ',')) AS qname FROM dbpediaresource WHERE types IS NOT NULL), x AS (SELECT DISTINCT trim(qname) AS qname FROM t WHERE trim(qname) <> '')
@@ -78,9 +97,10 @@ def i09_types_of_qnames(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("qname", S.type_of_qname(F.col("qname")).alias("type_id"))
 
 
-@query("SELECT uri, slice_id, len(list_filter(list_transform(string_split(types, ','), lambda t: trim(t)), lambda t: t <> '')) AS n_types FROM dbpediaresource WHERE types IS NOT NULL UNION ALL SELECT uri, slice_id, 0 FROM dbpediaresource WHERE types IS NULL")
+@query("""SELECT uri, slice_id, array_to_string(list_transform(list_filter(list_transform(string_split(coalesce(types, ''), ','), lambda t: trim(t)), lambda t: t <> ''), lambda q: CASE lower(split_part(q, ':', 1))
+  WHEN 'd' THEN 'DBpedia:' || regexp_replace(q, '^[^:]*:', '') WHEN 's' THEN 'Schema:' || regexp_replace(q, '^[^:]*:', '') ELSE q END), ',') AS type_ids FROM dbpediaresource""")
 def i10_types_of_csv(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "dbpediaresource").select("uri", "slice_id", F.size(S.types_of_csv(F.col("types"))).cast("long").alias("n_types"))
+    return table(spark, d, "dbpediaresource").select("uri", "slice_id", F.array_join(S.types_of_csv(F.col("types")), ",").alias("type_ids"))
 
 
 @query("SELECT 'http://schema.org/' || s.v AS uri, 'Schema:' || s.v AS type_id FROM (SELECT DISTINCT split_part(trim(t), ':', 2) AS v FROM (SELECT unnest(string_split(types, ',')) AS t FROM dbpediaresource WHERE types IS NOT NULL) WHERE trim(t) LIKE 'Schema:%') s")
@@ -94,24 +114,18 @@ def i12_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("name", F.explode(S.alternatives(F.col("name"))).alias("alt"))
 
 
-@query(None)
+@query(f"WITH {FORMS} SELECT name, {NT.format('name')} AS escaped FROM f")
 def i13_nt_escapes(spark: SparkSession, d: str) -> DataFrame:
     return _forms(spark, d).select("name", S.nt_escape(F.col("name")).alias("escaped"))
 
 
-@query(f"""WITH {FORMS} SELECT a.name, b.name AS other, CASE WHEN a.name = b.name THEN 1.0 WHEN lower(a.name) = lower(b.name) THEN 0.85 ELSE 0.85 * (1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name))) END AS score
-  FROM f a JOIN surface_forms b ON lower(b.name) = lower(a.name) WHERE regexp_matches(a.name, '^[ -~]+$')""")
+@query(f"""WITH {ALIKE} SELECT name, other, CASE WHEN name = other THEN 1.0 WHEN lower(name) = lower(other) THEN 0.85 ELSE 0.85 * (1 - {EDITS.format('name', 'other')} / greatest(length(name), length(other))) END AS score FROM alike""")
 def i17_edit_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the ASCII names, whose edits SQL counts as well; all: i17_edit_scores_all."""
-    return i17_edit_scores_all(spark, d).filter(F.col("name").rlike("^[ -~]+$"))
-
+    """Edit scores of forms and known names that share letter trigrams, equal or not."""
+    from kedge.operators.linking import trigram_names
 
-@query(None)
-def i17_edit_scores_all(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the names in any script."""
-    names = table(spark, d, "surface_forms").select(F.col("name").alias("other"))
-    rows = _forms(spark, d).join(names, F.lower("name") == F.lower("other"))
-    return rows.select("name", "other", S.edit_score(F.col("name"), F.col("other")).alias("score"))
+    near = trigram_names(_forms(spark, d), table(spark, d, "surface_forms").filter(F.col("name").isNotNull()).select("name"))
+    return near.select("name", F.col("form").alias("other"), S.edit_score(F.col("name"), F.col("form")).alias("score"))
 
 
 @query(f"WITH {FORMS} SELECT name, array_to_string(list_filter(string_split(trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda w: w NOT IN ('the', 'a', 'an')), ' ') AS normal FROM f")
@@ -153,10 +167,10 @@ def i23_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return pair_counts(table(spark, d, "occs")).select("uri", share.alias("p")).groupBy("uri").agg(S.perplexity(F.collect_list("p")).alias("perplexity"))
 
 
-@query(f"""WITH {URIS}, k AS (SELECT uri, replace(uri, '_', ' ') AS t FROM u WHERE NOT contains(uri, '%'))
+@query(f"""WITH {URIS}, k AS (SELECT uri, replace({DECODED}, '_', ' ') AS t FROM u)
   SELECT uri, '+"' || regexp_replace(t, ' \\([^)]*\\)$', '') || '"' || CASE WHEN regexp_extract(t, ' \\(([^)]*)\\)$', 1) IN ('', 'disambiguation') THEN '' ELSE ' +"' || regexp_extract(t, ' \\(([^)]*)\\)$', 1) || '"' END AS keywords FROM k""")
 def c21_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return _uris(spark, d).filter(~F.contains("uri", F.lit("%"))).select("uri", S.keywords_of(F.col("uri")).alias("keywords"))
+    return _uris(spark, d).select("uri", S.keywords_of(F.col("uri")).alias("keywords"))
 
 
 @query(f"""WITH {FORMS}, w AS (SELECT name, array_to_string(list_transform(string_split_regex(lower(name), '[ _]+'), lambda x: substr(x, 1, 1)), '') AS acronym FROM f) SELECT name, acronym, length(acronym) > 1 AS fits FROM w""")
@@ -171,12 +185,11 @@ def c02_tokens(spark: SparkSession, d: str) -> DataFrame:
     return T.token_rows(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "pos", "token")
 
 
-@query("SELECT d.occ_id, CAST(sum(CASE WHEN substr(d.context, s + 1, length(t)) = t THEN 1 ELSE 0 END) AS BIGINT) AS right_spans FROM (SELECT occ_id, context, w[i] AS t, length(array_to_string(g[1:i], '')) + length(array_to_string(w[1:i - 1], '')) AS s FROM (SELECT occ_id, context, w, g, unnest(generate_series(1, len(w))) AS i FROM (SELECT occ_id, context, regexp_extract_all(context, '[\\p{L}\\p{N}]+') AS w, string_split_regex(context, '[\\p{L}\\p{N}]+') AS g FROM occs WHERE context IS NOT NULL))) d GROUP BY d.occ_id")
+@query(f"WITH {SPANS.format(key='occ_id', text='context', table='occs')} SELECT occ_id, pos, token, start FROM span")
 def c02_token_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Token offsets, checked against the text they point into."""
-    rows = T.with_spans(table(spark, d, "occs").select("occ_id", "context"), "context").select("occ_id", "context", F.explode("s").alias("s"))
-    right = F.substr(F.col("context"), F.col("s.start") + 1, F.char_length("s.token")) == F.col("s.token")
-    return rows.groupBy("occ_id").agg(F.sum(right.cast("long")).alias("right_spans"))
+    """Every token of every context with its character offset."""
+    got = T.token_spans(table(spark, d, "occs"), "occ_id", "context")
+    return got.select("occ_id", F.col("pos").cast("long").alias("pos"), "token", F.col("start").cast("long").alias("start"))
 
 
 @query(None)
@@ -190,20 +203,10 @@ def c17_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
 
 
-@query(f"WITH {FORMS} SELECT gram, count(*) AS n FROM (SELECT substr(lower(name), i, 3) AS gram FROM (SELECT name, unnest(generate_series(1, length(name) - 2)) AS i FROM f WHERE regexp_matches(name, '^[ -~]+$'))) GROUP BY gram")
+@query(f"WITH {FORMS} SELECT gram, count(*) AS n FROM (SELECT substr(lower(name), CAST(i AS INTEGER), 3) AS gram FROM (SELECT name, unnest(generate_series(1, length(name) - 2)) AS i FROM f)) GROUP BY gram")
 def c17_char_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    """Trigrams of the ASCII names that SQL takes; all: c17_char_trigrams_all."""
-    return _char_trigrams(_forms(spark, d).filter(F.col("name").rlike("^[ -~]+$")))
-
-
-@query(None)
-def c17_char_trigrams_all(spark: SparkSession, d: str) -> DataFrame:
-    """Trigrams of the names in any script."""
-    return _char_trigrams(_forms(spark, d))
-
-
-def _char_trigrams(names: DataFrame) -> DataFrame:
-    rows = names.select(F.explode(T.char_ngrams(F.lower("name"), 3)).alias("gram"))
+    """Letter trigrams of the names, in any script."""
+    rows = _forms(spark, d).select(F.explode(T.char_ngrams(F.lower("name"), 3)).alias("gram"))
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -230,7 +233,12 @@ def c08_stems(spark: SparkSession, d: str) -> DataFrame:
     return words.select("token", T.stem_udf("token").alias("stem"))
 
 
-@query(None)
+@query("""WITH s AS (SELECT occ_id, context, surface_form, text_offset FROM occs WHERE text_offset >= 0 AND substr(context, text_offset + 1, length(surface_form)) = surface_form),
+  w AS (SELECT occ_id, regexp_extract_all(context, '[\\p{L}\\p{N}]+') AS t, len(regexp_extract_all(substr(context, 1, text_offset), '[\\p{L}\\p{N}]+')) AS lead_n, len(regexp_extract_all(surface_form, '[\\p{L}\\p{N}]+')) AS width FROM s),
+  r AS (SELECT *, greatest(20 - width, 0) AS room, len(t) - lead_n - width AS right_have FROM w),
+  l AS (SELECT *, least(lead_n, greatest(CAST(ceil(room / 2) AS BIGINT), room - right_have)) AS lft FROM r),
+  g AS (SELECT occ_id, t[lead_n - lft + 1:lead_n + width + least(right_have, room - lft)] AS got FROM l)
+  SELECT occ_id, array_to_string(got, ' ') AS narrow FROM g WHERE len(got) >= 8""")
 def c11_context_windows(spark: SparkSession, d: str) -> DataFrame:
     """Contexts narrowed to 20 words around the mention; with fewer than 8 they are dropped."""
     from kedge.operators.filters import narrowed
@@ -238,15 +246,19 @@ def c11_context_windows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs").transform(narrowed(20, 8)).select("occ_id", "narrow")
 
 
-@query(None)
+@query("SELECT occ_id, trim(regexp_replace(regexp_replace(" + _WIKI + ", '\\[\\[[^\\[\\]|]*\\|([^\\[\\]|]*)(?:\\|[^\\[\\]]*)?\\]\\]', '\\1', 'g'), '\\[\\[([^\\[\\]]*)\\]\\]', '\\1', 'g')) AS plain FROM occs")
 def c12_stripped_wiki(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "occs").select("occ_id", T.strip_wiki(F.col("context")).alias("plain"))
 
 
-@query("SELECT occ_id, regexp_replace(context, '\\[\\[([^\\[\\]]*)\\]\\]', '\\1', 'g') AS plain, len(regexp_extract_all(context, '\\[\\[([^\\[\\]]*)\\]\\]')) AS mentions FROM occs WHERE contains(context, '[[')")
+@query("""WITH b AS (SELECT occ_id, context, regexp_extract_all(context, '\\[\\[([^\\[\\]]*)\\]\\]', 1) AS w, string_split_regex(context, '\\[\\[[^\\[\\]]*\\]\\]') AS g FROM occs WHERE contains(context, '[[')),
+  x AS (SELECT occ_id, i, w[i] AS name, length(g[i]) AS gap, length(w[i]) AS size FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM b))
+  SELECT occ_id, name, CAST(sum(gap + size) OVER (PARTITION BY occ_id ORDER BY i) - size AS BIGINT) AS at FROM x""")
 def c13_bracket_mentions(spark: SparkSession, d: str) -> DataFrame:
-    plain, mentions = T.mentions_in_brackets(F.col("context"))
-    return table(spark, d, "occs").filter(F.contains("context", F.lit("[["))).select("occ_id", plain.alias("plain"), F.size(mentions).cast("long").alias("mentions"))
+    """Marked names with their offsets in the text without marks."""
+    _, mentions = T.mentions_in_brackets(F.col("context"))
+    rows = table(spark, d, "occs").filter(F.contains("context", F.lit("[["))).select("occ_id", F.explode(mentions).alias("m"))
+    return rows.select("occ_id", "m.name", F.col("m.offset").cast("long").alias("at"))
 
 
 @query("SELECT occ_id, regexp_replace(regexp_replace(context, '\\[\\[[^\\[\\]|]*\\|([^\\[\\]|]*)(?:\\|[^\\[\\]]*)?\\]\\]', '\\1', 'g'), '\\[\\[([^\\[\\]]*)\\]\\]', '\\1', 'g') AS plain FROM occs WHERE contains(context, '[[')")

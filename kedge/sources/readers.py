@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kedge.functions import text as T
+from kedge.functions.scalars import is_acronym_of
 from kedge.sources.occurrence_lines import loaded, read_occurrence_lines
 
 
@@ -107,3 +108,55 @@ def topic_descriptions(xml: DataFrame, column: str = "value") -> DataFrame:
     """(topic, categories, iptc, feeds) of topic description elements."""
     get = lambda path: F.xpath(column, F.lit(path))
     return xml.select(F.xpath_string(column, F.lit("/topic/@name")).alias("topic"), F.split(F.xpath_string(column, F.lit("/topic/categories")), ",\\s*").alias("categories"), get("/topic/iptc/@mediatopic").alias("iptc"), get("/topic/feed/@url").alias("feeds"))
+
+
+def form_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(name, annotated, total) of a plain list of forms, one a line: counts are 0, repeated and null lines count once and not at all."""
+    return lines.filter(F.col(column).isNotNull()).select(F.col(column).alias("name")).distinct().select("name", F.lit(0).alias("annotated"), F.lit(0).alias("total"))
+
+
+def candidate_map(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(name, uri, n) of lines 'count uri TAB form'; other lines are skipped."""
+    pattern = "(?s)^\\s*([0-9]+) ([^\t]*)\t(.*)$"
+    rows = lines.filter(F.col(column).rlike(pattern))
+    return rows.select(F.regexp_extract(column, pattern, 3).alias("name"), F.regexp_extract(column, pattern, 2).alias("uri"), F.regexp_extract(column, pattern, 1).cast("long").alias("n"))
+
+
+def disambiguation_items(pages: DataFrame, key: str, title: str, text: str) -> DataFrame:
+    """(key, line, uri, name): of each list line of a page the first link, if its target contains the page's title or the
+    title is an acronym of its name. Pages without list lines, and null ones, give nothing."""
+    rows = pages.filter(F.col(title).isNotNull() & F.contains(text, F.lit("[["))).select(key, F.lower(F.trim(F.translate(title, "_", " "))).alias("__t"), F.posexplode(F.split(text, "\n")).alias("line", "l"))
+    links = rows.filter(F.col("l").rlike("^ *[*#-] *.*\\[\\[[^\\[\\]]*\\]\\]")).select(key, F.col("line").cast("long").alias("line"), "__t", T.wiki_links(F.col("l"))[0].alias("x"))
+    got = links.select(key, "line", "__t", "x.uri", "x.name")
+    return got.filter(F.contains(F.lower(F.translate("uri", "_", " ")), F.col("__t")) | is_acronym_of(F.col("__t"), F.col("name"))).drop("__t")
+
+
+def web_occurrences(pages: DataFrame, key: str, html: str, shortest: int = 50, longest: int = 500, longest_name: int = 40) -> DataFrame:
+    """(key, href, name, text): anchors as occurrences, in texts of a fit length in which the anchor's name stands once."""
+    rows = pages.filter(F.contains(html, F.lit("<a "))).select(key, F.regexp_replace(html, "<[^>]*>", "").alias("text"), F.explode(anchors(F.col(html))).alias("a"))
+    got = rows.select(key, "a.href", "a.name", "text").filter(F.char_length("text").between(shortest, longest) & F.char_length("name").between(1, longest_name))
+    return got.filter(F.char_length("text") - F.char_length(F.replace("text", F.col("name"), F.lit(""))) == F.char_length("name"))
+
+
+def standoff_gold(annotations: DataFrame, texts: DataFrame, column: str = "value") -> DataFrame:
+    """(doc, uri, start, name): stand-off annotation XML (docName, wikiName, offset, length) met with its texts (doc, text)."""
+    get = lambda tag: F.xpath(column, F.lit(f"/annotations/annotation/{tag}/text()"))
+    each = F.arrays_zip(get("docName").alias("doc"), get("wikiName").alias("uri"), get("offset").alias("start"), get("length").alias("n"))
+    rows = annotations.select(F.explode(each).alias("a")).select("a.doc", "a.uri", F.col("a.start").try_cast("int").alias("start"), F.col("a.n").try_cast("int").alias("n"))
+    return rows.join(texts, "doc").select("doc", "uri", "start", F.substr(F.col("text"), F.col("start") + 1, F.col("n")).alias("name"))
+
+
+def linking_queries(queries: DataFrame, answers: DataFrame, docs: DataFrame, column: str = "value") -> DataFrame:
+    """(query_id, name, doc, uri): query XML with answer lines 'id TAB uri TAB type' and the documents asked about; an answer that begins with NIL is none."""
+    get = lambda path: F.xpath_string(column, F.lit(path))
+    asked = queries.select(get("/kbpentlink/query/@id").alias("query_id"), get("/kbpentlink/query/name").alias("name"), get("/kbpentlink/query/docid").alias("doc"))
+    parts = F.split(column, "\t")
+    given = answers.select(parts[0].alias("query_id"), parts[1].alias("uri")).select("query_id", F.when(~F.startswith("uri", F.lit("NIL")), F.col("uri")).alias("uri"))
+    return asked.join(given, "query_id", "left").join(docs.select("doc"), "doc", "left_semi").select("query_id", "name", "doc", "uri")
+
+
+def spot_dataset(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(name, start, text, uri, valid) of lines with seven columns, the last t for a valid spot; lines with fewer are skipped."""
+    p = F.split(column, "\t")
+    rows = lines.filter(F.size(p) >= 7)
+    return rows.select(p[0].alias("name"), p[1].try_cast("int").alias("start"), p[2].alias("text"), p[3].alias("uri"), (p[6] == "t").alias("valid"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kedge.functions.scalars import full_uri, nt_escape
-from kedge.operators.skew import numbered
+from kedge.functions.scalars import alternatives, full_uri, nt_escape
+from kedge.operators.skew import numbered, salted_join
 
 
 def occurrence_line(types: str | None = None) -> Column:
@@ -44,7 +44,7 @@ def escape_xml(text: Column) -> Column:
 
 def annotation_json(links: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, json): the links of each text as one JSON array, by offset. A text's links are bounded by the text."""
-    one = F.struct(F.col("start").alias("offset"), F.col("name").alias("surfaceForm"), F.col("uri").alias("URI"), F.col("support"), F.round("final_score", 6).alias("similarityScore"))
+    one = F.struct(F.col("start").alias("offset"), F.col("name").alias("surfaceForm"), F.col("uri").alias("URI"), F.col("support"), F.format_string("%.6f", F.round("final_score", 6)).alias("similarityScore"))
     return links.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("json"))
 
 
@@ -90,13 +90,17 @@ def name_triples(pairs: DataFrame, predicate: str = "http://www.w3.org/2000/01/r
 def score_quads(lex: DataFrame, least: int = 5) -> DataFrame:
     """(line): name, resource and pointwise mutual information of pairs seen often enough."""
     rows = lex.filter(F.col("n") >= least)
-    return rows.select(F.concat(F.lit("<"), full_uri(F.col("uri")), F.lit('> <http://kb.example/score/pmi> "'), F.round("pmi", 6).cast("string"), F.lit('" "'), nt_escape(F.col("name")), F.lit('" .')).alias("line"))
+    return rows.select(F.concat(F.lit("<"), full_uri(F.col("uri")), F.lit('> <http://kb.example/score/pmi> "'), F.format_string("%.6f", F.round("pmi", 6)), F.lit('" "'), nt_escape(F.col("name")), F.lit('" .')).alias("line"))
 
 
-def inverted_index(occs: DataFrame) -> DataFrame:
-    """(uri, uri_count, surface_forms, n_contexts): one row per resource; forms are distinct, contexts are counted.
-    The contexts themselves come from ``merged_contexts``, so that no resource's are gathered in one row."""
-    return occs.filter(F.col("uri").isNotNull()).groupBy("uri").agg(F.count(F.lit(1)).alias("uri_count"), F.array_sort(F.collect_set("surface_form")).alias("surface_forms"), F.count("context").alias("n_contexts"))
+def inverted_index(occs: DataFrame, key: str = "occ_id") -> DataFrame:
+    """(uri, field, position, value, n): what an index document of a resource holds, a row per entry and never one row per
+    resource: its distinct surface forms with their counts (position null), and its contexts in order."""
+    forms = occs.filter(F.col("uri").isNotNull() & F.col("surface_form").isNotNull()).groupBy("uri", F.col("surface_form").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    contexts = numbered(occs.filter(F.col("uri").isNotNull() & F.col("context").isNotNull()).select(key, "uri", "context"), "uri", key)
+    return forms.select("uri", F.lit("surface_form").alias("field"), F.lit(None).cast("long").alias("position"), "value", "n").unionByName(
+        contexts.select("uri", F.lit("context").alias("field"), F.col("position").cast("long").alias("position"), F.col("context").alias("value"), F.lit(1).cast("long").alias("n"))
+    )
 
 
 def merged_contexts(occs: DataFrame, key: str = "occ_id") -> DataFrame:
@@ -105,5 +109,62 @@ def merged_contexts(occs: DataFrame, key: str = "occ_id") -> DataFrame:
     return numbered(rows, "uri", key).select("uri", "position", "surface_form", "context").orderBy("uri", "position")
 
 
-def compressed_index(index: DataFrame, least: int) -> DataFrame:
-    return index.filter(F.col("uri_count") >= least).drop("surface_forms")
+def compressed_index(occs: DataFrame, least: int) -> DataFrame:
+    """(uri, uri_count, n_contexts): the documents of resources named often enough, without their stored fields."""
+    counts = occs.filter(F.col("uri").isNotNull()).groupBy("uri").agg(F.count(F.lit(1)).alias("uri_count"), F.count("context").alias("n_contexts"))
+    return counts.filter(F.col("uri_count") >= least)
+
+
+def error_xml(message: Column, status: Column) -> Column:
+    """One error document; a null message is empty."""
+    return F.concat(F.lit('<error status="'), status.cast("string"), F.lit('">'), escape_xml(F.coalesce(message, F.lit(""))), F.lit("</error>"))
+
+
+def topic_json(topics: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, json): the topics of each text with their probabilities, the likeliest first."""
+    one = F.struct((-F.col("p")).alias("m"), "topic", F.format_string("%.6f", F.round("p", 6)).alias("p"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(x["topic"].alias("topic"), x["p"].alias("p")))
+    return topics.groupBy(key).agg(F.to_json(listed).alias("json"))
+
+
+def topic_xml(topics: DataFrame, key: str = "doc_id") -> DataFrame:
+    one = F.concat(F.lit('<topic name="'), escape_xml(F.col("topic")), F.lit('" score="'), F.format_string("%.6f", F.round("p", 6)), F.lit('"/>'))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("m"), "topic", one.alias("x")))), lambda x: x["x"])
+    return topics.groupBy(key).agg(F.concat(F.lit("<topics>"), F.array_join(listed, ""), F.lit("</topics>")).alias("xml"))
+
+
+def candidates_xml(candidates: DataFrame) -> DataFrame:
+    """(name, xml): each name with its candidates, the most frequent first."""
+    one = F.concat(F.lit('<resource uri="'), escape_xml(F.col("uri")), F.lit('" support="'), F.col("support").cast("string"), F.lit('" priorScore="'), F.format_string("%.6f", F.round("prior", 6)), F.lit('"/>'))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("prior")).alias("m"), "uri", one.alias("x")))), lambda x: x["x"])
+    return candidates.groupBy("name").agg(F.concat(F.lit('<surfaceForm name="'), escape_xml(F.col("name")), F.lit('">'), F.array_join(listed, ""), F.lit("</surfaceForm>")).alias("xml"))
+
+
+def text_annotations(links: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, begin, end, uri, score): links as typed stretches of text, as annotation frameworks take them."""
+    return links.select(key, F.col("start").cast("long").alias("begin"), (F.col("start") + F.char_length("name")).cast("long").alias("end"), "uri", F.col("final_score").alias("score"))
+
+
+def separate_documents(occs: DataFrame) -> DataFrame:
+    """(occ_id, uri, surface_form, context): an index document per occurrence, the form in lower case."""
+    kept = occs.filter(F.col("uri").isNotNull() & F.col("surface_form").isNotNull() & F.col("context").isNotNull())
+    return kept.select("occ_id", "uri", F.lower("surface_form").alias("surface_form"), "context")
+
+
+def candidate_index(pairs: DataFrame, more_than: int = 0) -> DataFrame:
+    """(uri, name, n): names by which a resource is found, those seen often enough, with their alternatives (once, by the largest count)."""
+    kept = pairs.filter(F.col("n") > more_than)
+    return kept.select("uri", F.explode(alternatives(F.col("name"))).alias("name"), "n").groupBy("uri", "name").agg(F.max("n").alias("n"))
+
+
+def enriched(index: DataFrame, counts: DataFrame, types: DataFrame) -> DataFrame:
+    """Index documents (uri, …) with the resource's support and types; a resource without them has 0 and none."""
+    c = counts.select(F.col("uri").alias("__c"), F.col("support"))
+    t = types.select(F.col("uri").alias("__t"), F.col("types"))
+    got = salted_join(salted_join(index, c, "uri", "__c", "left"), t, "uri", "__t", "left").drop("__c", "__t")
+    return got.withColumn("support", F.coalesce("support", F.lit(0))).withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
+
+
+def page_line() -> Column:
+    """uri TAB text with blanks collapsed: one line of a page file."""
+    return F.concat_ws("\t", "uri", F.regexp_replace("text", "\\s+", " "))
