@@ -13,6 +13,8 @@ from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from kedge.session import spread
+
 # Patterns and word lists that results depend on.
 WORD = "[\\p{L}\\p{N}]+"
 TOKEN = "[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]"
@@ -80,12 +82,12 @@ def with_spans(df: DataFrame, text: str, name: str = "s", pattern: str = WORD) -
 
 def token_rows(df: DataFrame, key: str, text: str, pattern: str = WORD) -> DataFrame:
     """(key, pos, token): one row per token, from one explode."""
-    return df.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", "token"))
+    return spread(df.select(key, text)).select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", "token"))
 
 
 def token_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, token, start) with character offsets."""
-    rows = with_spans(df.select(key, text), text).select(key, F.posexplode("s").alias("pos", "s"))
+    rows = with_spans(spread(df.select(key, text)), text).select(key, F.posexplode("s").alias("pos", "s"))
     return rows.select(key, "pos", "s.token", "s.start")
 
 

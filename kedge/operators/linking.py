@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from kedge.functions import scalars as S
 from kedge.functions import text as T
-from kedge.session import cut
+from kedge.session import cut, partitions, spread
 
 # Smoothing and caps of the scorer.
 LAMBDA = 0.2
@@ -105,10 +105,13 @@ def context_gain(spotted: DataFrame, texts: DataFrame, contexts: DataFrame, toke
     whole contexts first would multiply every mention by its resource's vocabulary. A text with several
     mentions of one resource asks once.
     """
-    query = texts.select(key, F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
-    wanted = spotted.select(key, "uri").distinct()
+    # texts and candidates are placed by key once; words are taken apart and met there, in as many tasks as asked for
+    n = partitions(texts)
+    query = texts.select(key, "text").repartition(n, key).select(key, F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
+    wanted = spotted.select(key, "uri").repartition(n, key).distinct()
     gains = gains_of(contexts, tokens, sizes)
-    return wanted.join(query, key).join(gains, ["uri", "token"]).groupBy(key, "uri").agg(F.sum("g").alias("gain"))
+    # (uri, token) is unique among the gains, so their hash tables are even and small however often a pair is asked for
+    return wanted.join(query, key).join(gains.hint("shuffle_hash"), ["uri", "token"]).groupBy(key, "uri").agg(F.sum("g").alias("gain"))
 
 
 def linked(candidates: DataFrame, gain: DataFrame | None, sizes: DataFrame, keys: list[str], key: str, true_likelihood: bool = False) -> DataFrame:
@@ -171,14 +174,14 @@ def inverse_candidate_frequency(asked: DataFrame, candidates: DataFrame, context
     name by the vocabulary of its resources. The holders of a name and word are as few as the name's candidates.
     """
     cand = candidates.select("name", "uri", F.count(F.lit(1)).over(Window.partitionBy("name")).alias("__cand"))
-    held = asked.select("name", "token").distinct().join(cand, "name").join(contexts.select("uri", "token", "n"), ["uri", "token"])
+    held = asked.select("name", "token").distinct().join(cand, "name").join(contexts.select("uri", "token", "n").hint("shuffle_hash"), ["uri", "token"])
     holders = F.count(F.lit(1)).over(Window.partitionBy("name", "token"))
     return held.withColumn("holders", holders).select("name", "token", "uri", "n", "holders", (F.log(F.col("__cand") / F.col("holders")) + 1).alias("icf"))
 
 
 def words_of(mentions: DataFrame, key: str) -> DataFrame:
     """(key, name, token): the distinct words of each mention's text."""
-    return mentions.select(key, "name", F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
+    return spread(mentions.select(key, "name", "text")).select(key, "name", F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
 
 
 def icf_scores(mentions: DataFrame, candidates: DataFrame, contexts: DataFrame, key: str, belief: DataFrame | None = None) -> DataFrame:
@@ -239,7 +242,7 @@ def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, qu
     df = contexts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weighted = contexts.join(df, "token").withColumn("w", F.sqrt("n") * F.log(n_docs / F.col("df")))
     norm = weighted.groupBy("uri").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    query = texts.select(key, F.explode(T.lower_words(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    query = spread(texts.select(key, "text")).select(key, F.explode(T.lower_words(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.round(F.sqrt("tf") * F.log(n_docs / F.col("df")), 9)
     query = query.join(df, "token").withColumn("qw", weight)
     if query_terms is not None:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from kedge.functions import text as T
 from kedge.functions.scalars import types_of_csv
 from kedge.operators.skew import salted_join
-from kedge.session import cut
+from kedge.session import cut, spread
 
 # Thresholds of the build.
 MIN_ANNOTATED, MIN_CONTEXT, MIN_ANNOTATION_PROBABILITY = 2, 3, 0.05
@@ -111,7 +111,7 @@ def context_counts(occs: DataFrame, minimum: int = 1) -> DataFrame:
     The words are counted per context first, so a resource with a third of all rows is combined in
     many tasks before its counts meet.
     """
-    tokens = occs.filter(F.col("uri").isNotNull()).select("uri", F.explode(T.lower_words(F.col("context"))).alias("token"))
+    tokens = spread(occs.filter(F.col("uri").isNotNull()).select("uri", "context")).select("uri", F.explode(T.lower_words(F.col("context"))).alias("token"))
     return tokens.groupBy("uri", "token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= minimum)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kedge.functions import text as T
 from kedge.operators.skew import salted_join
 from kedge.operators.spotting import spot_features
+from kedge.session import spread
 
 # Closed-class words that stand in for part-of-speech tags where none are given, and names that are never linked.
 PREPOSITIONS = ("of", "in", "on", "at", "by", "for", "from", "with", "to", "into", "over", "under", "between", "after", "before", "during")
@@ -60,17 +61,15 @@ def lexical_features(mentions: DataFrame, name: str = "name") -> DataFrame:
 def neighbourhood_counts(mentions: DataFrame, docs: DataFrame, key: str, name: str = "name", text: str = "text", least: int = 2) -> DataFrame:
     """Mentions with the corpus counts of their words (``uses``, of a single word) and of the pairs that they make with
     their neighbours (``left_pair``, ``right_pair``); a count below ``least`` is missing (null)."""
-    words = docs.select(T.lower_words(F.col(text)).alias("w"))
+    words = spread(docs.select(text)).select(T.lower_words(F.col(text)).alias("w"))
     grams = words.select(F.explode(F.concat(F.col("w"), T.ngrams(F.col("w"), 2))).alias("__gram")).groupBy("__gram").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least)
-    own = T.lower_words(F.col(name))
     first, last = F.try_element_at("__w", F.lit(1)), F.try_element_at("__w", F.lit(-1))
-    asked = mentions.withColumn("__w", own).withColumns({
-        "__uses": F.when(F.size("__w") == 1, first), "__left": F.concat_ws(" ", F.lower("left_token"), first), "__right": F.concat_ws(" ", last, F.lower("right_token")),
-    }).drop("__w")
-    for column, out in (("__uses", "uses"), ("__left", "left_pair"), ("__right", "right_pair")):
-        asked = salted_join(asked, grams, column, "__gram", "left", spread=[key]).withColumnRenamed("__n", out).drop("__gram", column)
-    alone = lambda c, token: F.when(F.col(token).isNotNull(), F.col(c))
-    return asked.withColumns({"left_pair": alone("left_pair", "left_token"), "right_pair": alone("right_pair", "right_token")})
+    pair = lambda a, b: F.when(F.col("left_token" if a is None else "right_token").isNotNull(), F.concat_ws(" ", *([F.lower("left_token"), b] if a is None else [a, F.lower("right_token")])))
+    slots = F.array(*[F.struct(F.lit(k).alias("k"), g.alias("gram")) for k, g in (("uses", F.when(F.size("__w") == 1, first)), ("left_pair", pair(None, first)), ("right_pair", pair(last, None)))])
+    asked = mentions.select(key, "left_token", "right_token", T.lower_words(F.col(name)).alias("__w")).select(key, F.explode(slots).alias("s")).select(key, "s.k", "s.gram").filter(F.col("gram").isNotNull())
+    met = salted_join(asked, grams, "gram", "__gram", spread=[key])
+    counts = met.groupBy(F.col(key).alias("__key")).agg(*[F.max(F.when(F.col("k") == k, F.col("__n"))).alias(k) for k in ("uses", "left_pair", "right_pair")])
+    return mentions.join(counts, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def linear(weights: dict[str, float], bias: float) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kedge.operators.skew import PIECES_PER_PARTITION, numbered, salted_join
-from kedge.session import cut, partitions
+from kedge.session import cut, partitions, spread
 
 # The class of texts without a topic, and the features' pattern.
 OTHER = "other"
@@ -21,7 +21,7 @@ MOST_TOPICS = 200
 def features(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep…, token, tf): lower-case words of three ASCII letters or more."""
     words = F.regexp_extract_all(F.lower(text), F.lit(FEATURE), F.lit(0))
-    return docs.select(key, *keep, F.explode(words).alias("token")).groupBy(key, *keep, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return spread(docs.select(key, *keep, text)).select(key, *keep, F.explode(words).alias("token")).groupBy(key, *keep, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def weighted(feats: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:

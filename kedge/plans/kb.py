@@ -10,7 +10,7 @@ from kedge.functions import scalars as S
 from kedge.functions import text as T
 from kedge.operators import filters, hierarchy, model
 from kedge.operators.skew import salted_join
-from kedge.session import table
+from kedge.session import spread, table
 from kedge.sources import sinks
 
 QUERIES: dict = {}
@@ -337,7 +337,7 @@ def h21_stopwords(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_DF)
 def h22_document_frequency(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
+    rows = spread(table(spark, d, "documents").select("text")).select(F.explode(F.array_distinct(T.lower_words(F.col("text")))).alias("token"))
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kedge.functions import scalars as S
 from kedge.functions import text as T
 from kedge.plans.kb import WORDS
-from kedge.session import table
+from kedge.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -199,7 +199,7 @@ def c01_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH d AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents), g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM d)) SELECT gram, count(*) AS n FROM g GROUP BY gram HAVING count(*) >= 3""")
 def c17_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(T.lower_words(F.col("text")).alias("w")).select(F.explode(T.ngrams(F.col("w"), 2)).alias("gram"))
+    rows = spread(table(spark, d, "documents").select("text")).select(T.lower_words(F.col("text")).alias("w")).select(F.explode(T.ngrams(F.col("w"), 2)).alias("gram"))
     return rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
 
 
