@@ -249,7 +249,8 @@ def tfidf_similarity(texts: DataFrame, contexts: DataFrame, key: str, k: int, qu
         order = Window.partitionBy(key).orderBy(F.desc("qw"), "token")
         query = query.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= query_terms)
     dots = query.select(key, "token", "qw").join(weighted.filter(F.col("w") > 0).select("uri", "token", "w"), "token").groupBy(key, "uri").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    got = dots.join(norm, "uri").withColumn("score", F.col("dot") / F.col("norm"))
+    # to six places, so that what is equal but for the order of its sum ties
+    got = dots.join(norm, "uri").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "uri"))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "uri", "score", "rank")
 

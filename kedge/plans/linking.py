@@ -284,24 +284,25 @@ def f19_icf_links(spark: SparkSession, d: str) -> DataFrame:
     return filters.best_per(scored, ["occ_id"], "score").select("occ_id", "uri", "score")
 
 
-@query(f"""WITH {CTX}, nd AS (SELECT count(DISTINCT uri) AS nd FROM ctx), df AS (SELECT token, count(*) AS df FROM ctx GROUP BY token), w AS (SELECT c.uri, c.token, sqrt(c.n) * ln(nd / df) AS w FROM ctx c JOIN df ON df.token = c.token, nd), nm AS (SELECT uri, sqrt(sum(w * w)) AS norm FROM w GROUP BY uri),
+_TFIDF = f"""{CTX}, nd AS (SELECT count(DISTINCT uri) AS nd FROM ctx), df AS (SELECT token, count(*) AS df FROM ctx GROUP BY token), w AS (SELECT c.uri, c.token, sqrt(c.n) * ln(nd / df) AS w FROM ctx c JOIN df ON df.token = c.token, nd), nm AS (SELECT uri, sqrt(sum(w * w)) AS norm FROM w GROUP BY uri),
   q AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({WORDS.format('text')}) AS token FROM documents) GROUP BY 1, 2),
-  qt AS (SELECT * FROM (SELECT doc_id, token, qw, row_number() OVER (PARTITION BY doc_id ORDER BY qw DESC, token) AS k FROM (SELECT q.doc_id, q.token, round(sqrt(q.tf) * ln(nd / df.df), 9) AS qw FROM q JOIN df ON df.token = q.token, nd)) WHERE k <= 25),
-  dots AS (SELECT q.doc_id, w.uri, sum(q.qw * w.w) AS dot FROM qt q JOIN w ON w.token = q.token WHERE w.w > 0 GROUP BY 1, 2),
-  r AS (SELECT doc_id, d.uri, dot / norm AS score, row_number() OVER (PARTITION BY doc_id ORDER BY dot / norm DESC, d.uri) AS rank FROM dots d JOIN nm ON nm.uri = d.uri) SELECT doc_id, rank, round(score, 4) AS score FROM r WHERE rank <= 3""")
+  qa AS (SELECT doc_id, token, qw, row_number() OVER (PARTITION BY doc_id ORDER BY qw DESC, token) AS k FROM (SELECT q.doc_id, q.token, round(sqrt(q.tf) * ln(nd / df.df), 9) AS qw FROM q JOIN df ON df.token = q.token, nd))"""
+_ALIKE3 = """dots AS (SELECT q.doc_id, w.uri, sum(q.qw * w.w) AS dot FROM qt q JOIN w ON w.token = q.token WHERE w.w > 0 GROUP BY 1, 2), sc AS (SELECT doc_id, d.uri, round(dot / norm, 6) AS score FROM dots d JOIN nm ON nm.uri = d.uri),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, uri) AS rank FROM sc) SELECT doc_id, rank, uri, score FROM r WHERE rank <= 3"""
+
+
+@query(f"WITH {_TFIDF}, qt AS (SELECT * FROM qa WHERE k <= 25), {_ALIKE3}")
 def f27_text_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of the three resources most like each document's 25 weightiest words, as in a more-like-this query; by all words: f27_text_similarity_all."""
-    m = kb_model(spark, d)
-    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), m.contexts, "doc_id", 3, linking.QUERY_TERMS)
-    return got.select("doc_id", "rank", F.round("score", 4).alias("score"))
+    """The three resources most like each document by its 25 weightiest words, as in a more-like-this query; by all words: f27_text_similarity_all."""
+    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), kb_model(spark, d, cut).contexts, "doc_id", 3, linking.QUERY_TERMS)
+    return got.select("doc_id", F.col("rank").cast("long").alias("rank"), "uri", "score")
 
 
-@query(None)
+@query(f"WITH {_TFIDF}, qt AS (SELECT * FROM qa), {_ALIKE3}")
 def f27_text_similarity_all(spark: SparkSession, d: str) -> DataFrame:
     """The three resources whose contexts are most like each document, by all its words."""
-    m = kb_model(spark, d)
-    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), m.contexts, "doc_id", 3)
-    return got.select("doc_id", "rank", "uri", F.round("score", 4).alias("score"))
+    got = linking.tfidf_similarity(table(spark, d, "documents").select("doc_id", "text"), kb_model(spark, d, cut).contexts, "doc_id", 3)
+    return got.select("doc_id", F.col("rank").cast("long").alias("rank"), "uri", "score")
 
 
 @query(f"WITH {CAND}, a AS (SELECT uri, count(*) AS names, sum(n) AS total, avg(prior) AS mean FROM candidates GROUP BY uri) SELECT c.name, arg_max(c.uri, (a.total, c.uri)) AS common, arg_max(c.uri, (round(a.mean, 9), c.uri)) AS best FROM candidates c JOIN a ON a.uri = c.uri GROUP BY c.name")
