@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kedge.functions import phonetic
 from kedge.functions import scalars as S
 from kedge.functions import text as T
 from kedge.operators import filters, hierarchy, linking, model
@@ -357,3 +358,15 @@ def h16_names_by_reverse_links(spark: SparkSession, d: str) -> DataFrame:
     done = hierarchy.resolve(nodes, edges, paths=True)
     walked = F.when(F.col("kind") == "tree", F.col("path")).otherwise(F.slice("path", F.lit(1), F.col("depth").cast("int")))
     return done.select(F.explode(walked).alias("uri"), F.col("node").alias("via"), S.surface_form_of(F.col("node")).alias("name"))
+
+
+@query(None)
+def c18_phonetic_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Phonetic keys of the words of every form, and runs of two and three of them."""
+    return phonetic.phonetic_terms(occs_of(spark, d).select(F.col("surface_form").alias("name")))
+
+
+@query(None)
+def e11_sounding_names(spark: SparkSession, d: str) -> DataFrame:
+    """Known names that sound like a form."""
+    return phonetic.sounding_alike(occs_of(spark, d).select(F.col("surface_form").alias("name")), table(spark, d, "surface_forms").select("name"))
