@@ -26,6 +26,7 @@ def features(docs: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -
 
 def weighted(feats: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep…, token, w): ln(1 + tf) * ln(N / df), each text of length 1; words in every text weigh nothing."""
+    feats = cut(feats)
     n = feats.agg(F.count_distinct(key)).scalar()
     df = feats.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     w = feats.join(df, "token").withColumn("w", F.log(1 + F.col("tf")) * F.log(n / F.col("df")))
@@ -68,6 +69,7 @@ def _scored(rows: DataFrame, per_token: DataFrame, key: str, n_topics: int) -> D
 
 def predict(rows: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     """(key, topic, p): proportions of all topics for each text, with a uniform prior; a topic that never had a word takes its floor."""
+    weights = cut(weights)
     names = topic_names(weights)
     if not names:
         return rows.select(key, F.lit(None).cast("string").alias("topic"), F.lit(None).cast("double").alias("p")).limit(0)
@@ -90,6 +92,7 @@ def predict_each(rows: DataFrame, model: DataFrame, key: str, smoothing: float =
     The evidence of the rest is all evidence less the topic's own, so no text is relabelled and none is read
     once per topic. Topics may hold together; their p don't add up to 1.
     """
+    model = cut(model)
     names = topic_names(model)
     if not names:
         return rows.select(key, F.lit(None).cast("string").alias("topic"), F.lit(None).cast("double").alias("p")).limit(0)
