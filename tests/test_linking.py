@@ -159,3 +159,27 @@ def test_similarity_takes_all_words_and_names_the_resource(spark):
     got = linking.tfidf_similarity(docs, ctx, "doc_id", 3).collect()
     assert sorted((r["doc_id"], r["uri"], round(r["score"], 6), r["rank"]) for r in got) == sorted(want) and len(want) == 5
     assert [r["uri"] for r in linking.tfidf_similarity(docs.limit(1), ctx, "doc_id", 3, 25).collect()] == ["A"]
+
+
+def test_runs_of_texts_are_passed_on_in_parts(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(spotting, "PART_CHARS", 40)
+    monkeypatch.setattr(spotting, "MOST_RUNS", 7)
+    texts = ["New York is not new york, but New York City", "", "a b c " * 20, "New"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    every = [b for b in spotting._grams(None, "doc_id", 3)([batch])]
+    assert max(b.num_rows for b in every) <= 7
+    words = [t.replace(",", "").split() for t in texts]
+    want = sorted((k, i, " ".join(w[i : i + n])) for k, w in enumerate(words) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    rows = [r for b in every for r in b.to_pylist()]
+    assert sorted((r["doc_id"], r["pos"], r["key"]) for r in rows) == want
+    assert all(texts[r["doc_id"]][r["start"] : r["start"] + r["length"]].replace(",", "") == r["key"] for r in rows)
+    names = pa.RecordBatch.from_arrays([pa.array(["New York", "New York City", "c a b"])], names=["key"])
+    got = pa.Table.from_batches(spotting._beginnings([names])).group_by("h").aggregate([("whole", "max")]).sort_by("h")
+    hashes = got["h"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    known = hashes[order], got["whole_max"].to_numpy()[order]
+    hits = sorted((r["doc_id"], r["pos"], r["key"]) for b in spotting._grams(known, "doc_id")([batch]) for r in b.to_pylist())
+    assert hits == [x for x in want if x[2] in ("New York", "New York City", "c a b")] and len(hits) == 22
