@@ -183,3 +183,32 @@ def test_runs_of_texts_are_passed_on_in_parts(monkeypatch):
     known = hashes[order], got["whole_max"].to_numpy()[order]
     hits = sorted((r["doc_id"], r["pos"], r["key"]) for b in spotting._grams(known, "doc_id")([batch]) for r in b.to_pylist())
     assert hits == [x for x in want if x[2] in ("New York", "New York City", "c a b")] and len(hits) == 22
+
+
+def test_similarity_over_blocks_and_without_pairs(spark, monkeypatch):
+    import random
+
+    from kedge.operators import postings
+
+    rnd = random.Random(3)
+    index = [(t, r, rnd.choice([0.25, 0.5, 1.0, 2.0])) for t in range(1, 30) for r in range(40) if rnd.random() < 0.4]
+    queries = {q: {t: rnd.choice([0.5, 1.0, 3.0]) for t in rnd.sample(range(1, 35), rnd.randint(0, 8))} for q in range(50)}
+    weight = {(t, r): w for t, r, w in index}
+    want = []
+    for q, terms in queries.items():
+        sums = {r: sum(w * weight.get((t, r), 0) for t, w in terms.items()) for r in range(40)}
+        want += [(q, r, s) for s, r in sorted((-s, r) for r, s in sums.items() if s)[:3]]
+    want = sorted((q, r, -s) for q, r, s in want)
+    df = spark.createDataFrame([(q, list(t), list(t.values())) for q, t in queries.items()], "q long, terms array<int>, weights array<double>")
+    held = spark.createDataFrame(index, "term int, resource long, weight double")
+    for block in (len(index), 30):
+        monkeypatch.setattr(postings, "BLOCK_POSTINGS", block)
+        got = {}
+        for r in postings.most_alike(df, held, "q", 3).collect():
+            got.setdefault(r["q"], []).append((-r["score"], r["resource"]))
+        assert sorted((q, r, -s) for q, rows in got.items() for s, r in sorted(rows)[:3]) == want
+    assert postings.most_alike(df, held.limit(0), "q", 3).count() == 0 == postings.most_alike(df.limit(0), held, "q", 3).count()
+    many = spark.range(2000).selectExpr("id AS doc_id", "'same word' AS text")
+    contexts = spark.range(400).selectExpr("concat('r', id) AS uri", "CASE WHEN id % 2 = 0 THEN 'same' ELSE 'word' END AS token", "1L AS n")
+    found = linking.tfidf_similarity(many, contexts, "doc_id", 3)
+    assert "SortMergeJoin [token" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 6000
